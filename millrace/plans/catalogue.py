@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.plans import nested
+from millrace.plans import aggregates, nested
 
-MODULES = [nested]
-FLAGSHIP = "p3_found"
+MODULES = [nested, aggregates]
+FLAGSHIP = "agg_4_threshold_acceptance"
 
 
 def queries() -> dict:
