@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.plans import aggregates, nested
+from millrace.plans import aggregates, joins, nested, windows
 
-MODULES = [nested, aggregates]
+MODULES = [nested, aggregates, joins, windows]
 FLAGSHIP = "agg_4_threshold_acceptance"
 
 
