@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.ranking import BINS, bin_offsets, binned_rank, hash_bin, hash_order
+from millrace.operators.ranking import BINS, bin_offsets, binned_rank, hash_bin
 
 
 def largest_remainder(weights: Sequence[float], seats: int, ties: str = "weight", empty: str = "even") -> list[int]:
@@ -59,7 +59,7 @@ def ranked_whole(rows: DataFrame, order: Column, key: str, bins: int = BINS) ->
 
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """``n`` rows without replacement; the same ones at any partitioning.  A top-n, so no full sort."""
-    return rows.orderBy(hash_order(seed, F.col(key)), F.col(key)).limit(n)
+    return rows.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), F.col(key)).limit(n)
 
 
 def quota_then_backfill(rows: DataFrame, stratum: str, key: str, score: str, quota: int, total: int) -> DataFrame:

@@ -93,12 +93,15 @@ CAND = f"""flat as (select log_seq, logged_at, {CAND_COLUMNS} from candidate_log
 )"""
 
 
+_RECORD_TIES = ["score", *(f"vlm.{c}" for c in "quality_score natural_image_score editable_content_score object_region_clarity removable_object_score small_object_separability preservation_potential clutter_penalty text_watermark_penalty".split()), *(f"stats_scores.{c}" for c in "technical_quality_score structure_score saturation_score contrast_score".split())]
+
+
 def records(spark: SparkSession, sf: str) -> DataFrame:
     """The valid source records."""
-    return latest_by(read(spark, sf, "source_records"), ["key"], "ingested_at")
+    return latest_by(read(spark, sf, "source_records"), ["key"], "ingested_at", [F.col(c).desc_nulls_last() for c in _RECORD_TIES])
 
 
-REC = "rec as (select * exclude (version) from (select *, row_number() over (partition by key order by ingested_at desc nulls last) as version from source_records) where version = 1)"
+REC = f"rec as (select * exclude (version) from (select *, row_number() over (partition by key order by ingested_at desc nulls last, {', '.join(c + ' desc nulls last' for c in _RECORD_TIES)}) as version from source_records) where version = 1)"
 
 
 def pool(spark: SparkSession, sf: str) -> DataFrame:
@@ -115,3 +118,30 @@ POOL = """pool as (select p.*, n.edit_type as known_type from (
 
 def r6(x: Column) -> Column:
     return F.round(x, 6)
+
+
+def document_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "documents")
+
+
+#: For queries that are expressions over one view: the view, its key and its SQL.
+VIEWS: dict[str, tuple[Query, list[str], str]] = {
+    "cand": (candidates, ["group_id", "candidate_index"], f"with {CAND} select {{}} from cand"),
+    "rec": (records, ["key"], f"with {REC} select {{}} from rec"),
+    "pool": (pool, ["pool_id"], f"with {POOL} select {{}} from pool"),
+    "documents": (document_rows, ["doc_id"], "select {} from documents"),
+    "embeddings": (lambda spark, sf: read(spark, sf, "embeddings"), ["vec_id"], "select {} from embeddings"),
+    "events": (lambda spark, sf: read(spark, sf, "events"), ["event_id"], "select {} from events"),
+}
+
+
+def columns_query(registry: Registry, name: str, view: str, columns: dict[str, tuple[Callable[[], Column], str | None]]) -> None:
+    """Registers a projection of a view: per output column the expression and its SQL."""
+    source, key, sql = VIEWS[view]
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        return source(spark, sf).select(*key, *[make().alias(c) for c, (make, _) in columns.items()])
+
+    registry.QUERIES[name] = query
+    if all(text is not None for _, text in columns.values()):
+        registry.SQL[name] = sql.format(", ".join([*key, *(f"{text} as {c}" for c, (_, text) in columns.items())]))

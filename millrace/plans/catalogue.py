@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.plans import aggregates, joins, nested, windows
+from millrace.plans import aggregates, gates, joins, nested, selection, sets, windows
 
-MODULES = [nested, aggregates, joins, windows]
+MODULES = [nested, aggregates, gates, joins, windows, selection, sets]
 FLAGSHIP = "agg_4_threshold_acceptance"
 
 
