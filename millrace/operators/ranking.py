@@ -41,7 +41,7 @@ def binned_rank(rows: DataFrame, offsets: DataFrame, groups: Sequence[str], bin_
     """
     keys = [*groups, bin_column]
     within = Window.partitionBy(*keys).orderBy(*order)
-    joined = rows.join(offsets.drop("bin_size"), keys)
+    joined = rows.join(offsets.drop("bin_size").hint("merge"), keys)  # the window needs the same shuffle and sort
     return joined.withColumn(out, F.col("offset") + F.row_number().over(within)).drop("offset")
 
 
@@ -49,5 +49,5 @@ def binned_running_sum(rows: DataFrame, offsets: DataFrame, groups: Sequence[str
     """``rows`` with the sum of ``value`` over the earlier rows of the group."""
     keys = [*groups, bin_column]
     before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = rows.join(offsets.drop("bin_size"), keys)
+    joined = rows.join(offsets.drop("bin_size").hint("merge"), keys)  # the window needs the same shuffle and sort
     return joined.withColumn(out, F.col("offset") + F.coalesce(F.sum(value).over(before), F.lit(0)).cast("bigint")).drop("offset")
