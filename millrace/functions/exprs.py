@@ -54,7 +54,7 @@ def trapezoid(x: Column, low: Column | float, high: Column | float) -> Column:
     low, high = (c if isinstance(c, Column) else F.lit(c) for c in (low, high))
     under = F.try_divide(x, low)
     over = 1.0 - F.try_divide(x - high, F.greatest(1.0 - high, F.lit(1e-6)))
-    return clamp(F.when(x < low, under).when(x > high, over).otherwise(F.lit(1.0)))
+    return clamp(F.when(x < low, under).when(x > high, over).when(x.isNotNull(), F.lit(1.0)))
 
 
 def scale_judge(score: Column) -> Column:
