@@ -17,6 +17,7 @@ from millrace.llm.packing import pack
 from millrace.llm.quota_sample import QuotaSample, quota_sample
 from millrace.llm.top_items import top_items
 from millrace.operators.latest import latest_by
+from millrace.scratch import keep
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -167,7 +168,8 @@ def _pieces(spark: SparkSession, sf: str, include_small: bool) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    blocks = _pieces(spark, sf, False).select("doc_id", F.explode_outer("oversized_blocks").alias("block_no"))
+    pieces = keep(_pieces(spark, sf, False).select("doc_id", "oversized_blocks"), "oversized-blocks")  # read twice below
+    blocks = pieces.df.select("doc_id", F.explode_outer("oversized_blocks").alias("block_no"))
     by_document = blocks.groupBy("doc_id").agg(F.count("block_no").alias("n"))
     none = by_document.where("n = 0").select("doc_id", F.lit(-1).alias("block_no"))
     return blocks.where("block_no is not null").unionByName(none)
