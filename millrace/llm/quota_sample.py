@@ -47,7 +47,7 @@ def _smallest(start: np.ndarray, end: np.ndarray, share: np.ndarray, want: int)
         return np.clip(np.minimum(ranks, end), start, end)
 
     low, high = 0.0, (float(end.max()) + 1.0) / max(share[share > 0].min(initial=1.0), 1e-300)
-    for _ in range(100):  # the largest threshold that gives no more than is wanted
+    for _ in range(64):  # the largest threshold that gives no more than is wanted
         middle = (low + high) / 2
         low, high = (middle, high) if int((at(middle) - start).sum()) <= want else (low, middle)
     seats = at(low)
@@ -63,6 +63,11 @@ def _smallest(start: np.ndarray, end: np.ndarray, share: np.ndarray, want: int)
     return seats
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _seats(counts: pd.Series, targets: pd.Series, floors: pd.Series, sizes: pd.Series) -> pd.Series:
+    return pd.Series([divisor_seats(*one) for one in zip(counts, targets, floors, sizes, strict=True)])
+
+
 @dataclass
 class QuotaSample:
     """``sample``: the chosen rows with rank and priority.  ``report``: a row per stratum and target category."""
@@ -113,15 +118,12 @@ def quota_sample(rows: DataFrame, targets: DataFrame, axis: str, stratum: str, c
     grid = grid.withColumn("available", F.coalesce("available", F.lit(0))).withColumn("sample_size", F.expr(f"(n * {int(size_pct)}) div 100"))
     grid = grid.withColumn("required", F.greatest(F.col("min_keep").cast("bigint"), F.expr("(sample_size * target_pct + 99) div 100")))
 
-    out = T.StructType([*grid.schema.fields, T.StructField("seats", T.LongType())])
-    names = [f.name for f in out.fields]
-
-    def allot(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("__place")
-        part["seats"] = divisor_seats(part["available"], part["target_pct"], part["min_keep"], int(part["sample_size"].iloc[0]))
-        return part[names]
-
-    seats = keep(grid.groupBy("__axis", "__stratum").applyInPandas(allot, out), "quota-seats")
+    # a row per stratum, holding at most one entry per target
+    entries = F.array_sort(F.collect_list(F.struct("__place", "__category", "target_pct", "min_keep", "available", "required")))
+    strata_rows = grid.groupBy("__axis", "__stratum", "n", "sample_size").agg(entries.alias("t"))
+    given = _seats("t.available", "t.target_pct", "t.min_keep", "sample_size")
+    seats = strata_rows.withColumn("seats", given).select("__axis", "__stratum", "n", "sample_size", F.explode(F.arrays_zip("t", "seats")).alias("z")).select("__axis", "__stratum", "n", "sample_size", "z.t.*", "z.seats")
+    seats = keep(seats, "quota-seats")
     # only bins that reach into the seats take part, so four rows in five are gone before the ranking
     live = by_bin.df.join(seats.df.select(*cells, "seats", "target_pct", "min_keep"), cells).where(F.col("offset") < F.col("seats"))
     ranked = _rank(kept.df, live, [*cells, "__bin"])
