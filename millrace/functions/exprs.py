@@ -85,9 +85,8 @@ def blend(a: Column, wa: float, b: Column, wb: float) -> Column:
 def row_spread(values: Sequence[Column]) -> Column:
     """Population deviation of the finite values of a row; 0 for one or none."""
     own = F.array_compact(F.array(*[finite(v) for v in values]))
-    n = F.size(own)
-    mean = F.aggregate(own, F.lit(0.0), lambda s, x: s + x) / n
-    return F.when(n <= 1, F.lit(0.0)).otherwise(F.sqrt(F.aggregate(F.transform(own, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda s, x: s + x) / n))
+    mean = total(own) / F.size(own)
+    return F.when(F.size(own) <= 1, F.lit(0.0)).otherwise(F.sqrt(F.get(F.transform(F.array(mean), lambda m: total(F.transform(own, lambda x: (x - m) * (x - m)))), F.lit(0)) / F.size(own)))
 
 
 # lookups in containers

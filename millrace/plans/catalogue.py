@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.plans import aggregates, gates, joins, nested, scalars, selection, sets, windows
+from millrace.plans import aggregates, arrays, gates, joins, nested, projections, scalars, selection, sets, windows
 
-MODULES = [nested, aggregates, gates, joins, windows, selection, sets, scalars]
+MODULES = [nested, projections, gates, joins, aggregates, windows, selection, sets, scalars, arrays]
 FLAGSHIP = "agg_4_threshold_acceptance"
 
 
