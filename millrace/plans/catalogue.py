@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.plans import aggregates, arrays, gates, joins, nested, projections, scalars, selection, sets, windows
+from millrace.plans import aggregates, arrays, connectors, gates, joins, nested, projections, scalars, selection, sets, stream, windows
 
-MODULES = [nested, projections, gates, joins, aggregates, windows, selection, sets, scalars, arrays]
+MODULES = [nested, connectors, projections, gates, joins, aggregates, windows, selection, sets, scalars, arrays, stream]
 FLAGSHIP = "agg_4_threshold_acceptance"
 
 
