@@ -116,12 +116,14 @@ def _assign(spark: SparkSession, keys: DataFrame, targets: DataFrame, seed: int)
     total = keys.count()
     goal = {r[0]: r[1] / whole * total for r in wanted}
     sizes = keep(
-        keys.groupBy("root_key").agg(F.count("*").alias("n"), F.min(F.when(F.col("split") != QUARANTINE, F.col("split"))).alias("low"), F.max(F.when(F.col("split") != QUARANTINE, F.col("split"))).alias("high")), "split-sizes"
+        keys.groupBy("root_key").agg(F.count("*").alias("n"), F.count_if(F.col("split").isNull()).alias("unplaced"), F.min(F.when(F.col("split") != QUARANTINE, F.col("split"))).alias("low"), F.max(F.when(F.col("split") != QUARANTINE, F.col("split"))).alias("high")), "split-sizes"
     )
     # new keys of a component whose earlier keys agree take its split; where they disagree, quarantine
     has_old = F.col("low").isNotNull()
     inherited = F.when(has_old, F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.lit(QUARANTINE)))
     filled = {r[0]: r[1] for r in keys.where("split is not null").groupBy("split").count().collect()}
+    for r in sizes.df.where(has_old).groupBy(inherited.alias("split")).agg(F.sum("unplaced")).collect():
+        filled[r[0]] = filled.get(r[0], 0) + r[1]
     new = sizes.df.where(~has_old)
     # at most 1 / LARGE_SHARE components can be this large
     large = [(r[0], r[1]) for r in new.where(F.col("n") > max(1.0, LARGE_SHARE * total)).select("root_key", "n").collect()]
