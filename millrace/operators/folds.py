@@ -21,7 +21,7 @@ def ordered_values(rows: DataFrame, groups: Sequence[str], order: str, value: st
 def smoothed(rounds: Column, keep: float) -> Column:
     """Exponential average over an array of (o, v), seeded by the first value; nulls are passed over."""
     values = F.filter(rounds, lambda r: r["v"].isNotNull())
-    rest = F.slice(values, 2, 2**31 - 1)
+    rest = F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0)))
     return F.when(F.size(values) > 0, F.aggregate(rest, F.get(values, F.lit(0))["v"], lambda s, r: keep * r["v"] + (1.0 - keep) * s))
 
 

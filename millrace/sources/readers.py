@@ -90,7 +90,7 @@ def read_rounds(spark: SparkSession, run: str, schema: str, rounds: Sequence[int
     """The logs of a run's round folders with ``_round``; only the listed rounds are opened."""
     paths = [p for p in sorted(glob.glob(f"{run}/round_*")) if rounds is None or int(re.search(r"round_(\d+)", p).group(1)) in rounds]
     if not paths:
-        return spark.createDataFrame([], T.StructType.fromDDL(schema).add("_round", "int"))
+        return spark.createDataFrame([], T.StructType.fromDDL(schema).add("_round", T.IntegerType()))
     rows = spark.read.schema(schema).option("pathGlobFilter", "*.json*").json(paths)
     return rows.withColumn("_round", round_of(F.col("_metadata.file_path")))
 
