@@ -60,3 +60,23 @@ def first_mode(rows: DataFrame, groups: Sequence[str], value: str, position: Seq
     counts = rows.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("n"), F.min(F.struct(*position)).alias("__first"))
     rank = Window.partitionBy(*groups).orderBy(F.desc("n"), "__first")
     return counts.withColumn("__r", F.row_number().over(rank)).where("__r = 1").select(*groups, value, "n")
+
+
+def label_pair_accuracy(rows: DataFrame, group: str, label: str, score: str, apart: int = 5) -> DataFrame:
+    """How often, of two rows of a group whose labels differ, the one with the higher label scores higher.
+
+    Labels count in hundredths and scores in thousandths; ``apart`` is the least
+    difference of labels in hundredths.  Rows are first counted by label and
+    score, then each label of a group (there are at most 101 for labels of 0 to
+    1) is held against the counts of lower labels in score order.  No pair of
+    rows is formed.  Per group: pairs (equal scores left out), hits, accuracy.
+    """
+    used = rows.where(finite(F.col(label)).isNotNull() & finite(F.col(score)).isNotNull())
+    cells = used.groupBy(group, F.round(F.col(label) * 100).cast("int").alias("l"), F.round(F.col(score) * 1000).cast("int").alias("s")).agg(F.count("*").alias("n"))
+    labels = cells.groupBy(group).agg(F.array_sort(F.collect_set("l")).alias("ls"))
+    against = cells.join(labels, group).withColumn("at", F.explode(F.filter("ls", lambda x: (x == F.col("l")) | (x >= F.col("l") + apart))))
+    levels = against.groupBy(group, "at", "s").agg(F.sum(F.when(F.col("l") == F.col("at"), F.col("n")).otherwise(0)).alias("own"), F.sum(F.when(F.col("l") < F.col("at"), F.col("n")).otherwise(0)).alias("low"))
+    below = Window.partitionBy(group, "at").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    counted = levels.withColumn("hits", F.col("own") * F.coalesce(F.sum("low").over(below), F.lit(0))).groupBy(group, "at").agg(F.sum("hits").alias("hits"), F.sum("own").alias("own"), F.sum("low").alias("low"), F.sum(F.col("own") * F.col("low")).alias("ties"))
+    sums = counted.groupBy(group).agg(F.sum("hits").alias("hits"), F.sum(F.col("own") * F.col("low") - F.col("ties")).alias("pairs"))
+    return sums.select(group, "pairs", "hits", F.try_divide(F.col("hits"), F.nullif(F.col("pairs"), F.lit(0))).cast("double").alias("accuracy"))

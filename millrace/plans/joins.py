@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from millrace.functions.exprs import filled, finite
 from millrace.functions.text import base_key
 from millrace.operators.joins import best_against_rest, best_rows, fallback_join, hardest_pairs, sign_neighbours
-from millrace.operators.stats import auc
+from millrace.operators.stats import auc, label_pair_accuracy
 from millrace.plans.aggregates import feedback_of
 from millrace.plans.base import CAND, POOL, REC, Registry, candidates, pool, r6, read, records
 
 R = Registry()
 QUERIES, SQL = R.QUERIES, R.SQL
+C = F.col
 
 
 @R.query("join_1_sidecar", f"with {REC} select d.doc_id, r.batch, r.score from documents d left join rec r on r.key = d.record_key")
@@ -83,6 +84,17 @@ def hard_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return hardest_pairs(rows, "group_id", "candidate_index", "score", F.col("status") == "accepted", F.col("status") == "rejected", 3).select("group_id", "winner", "loser", "winner_score", "loser_score")
 
 
+@R.query(
+    "join_8_pair_accuracy",
+    f"""with {CAND}, c as (select group_id, round(judge * 100)::int as l, round(score * 1000)::int as s from cand where trim(group_id) <> '' and judge is not null and score is not null),
+    p as (select a.group_id, b.s - a.s as d from c a join c b on b.group_id = a.group_id and b.l >= a.l + 5), g as (select distinct group_id from c)
+    select g.group_id, count(*) filter (d <> 0) as pairs, count(*) filter (d > 0) as hits, round(count(*) filter (d > 0) / nullif(count(*) filter (d <> 0), 0), 6) as accuracy from g left join p using (group_id) group by g.group_id""",
+)
+def pair_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    rows = candidates(spark, sf).where("trim(group_id) != ''").select("group_id", "judge", "score")
+    return label_pair_accuracy(rows, "group_id", "judge", "score").withColumn("accuracy", r6(C("accuracy")))
+
+
 _BEST = f"""with {CAND}, c as (select * from cand where trim(group_id) <> '' and score is not null),
     w as (select * from (select *, row_number() over (partition by group_id order by score desc, candidate_index) as r from c where accepted) where r = 1),
     p as (select c.group_id, w.candidate_index as winner, c.candidate_index as loser, w.score as winner_score, c.score as loser_score from c join w using (group_id) where c.candidate_index <> w.candidate_index"""
