@@ -49,7 +49,24 @@ _SHARES = f"""with sized as (
 ), by_source as (select snapshot, source, sum(n)::bigint as tokens from sized group by snapshot, source
 )"""
 
+_KEYS = """rec as (
+  select key, author, page, entities from (select *, row_number() over (partition by key order by ingested_at desc nulls last) rn from source_records where key is not null) where rn = 1
+), keys as (select key from rec union select record_key from candidate_log where record_key is not null
+), marks as (
+  select key, 'b:' as kind, split_part(key, '__reward_pool__', 1) as v from keys
+  union all select key, 'a:', regexp_replace(lower(trim(author)), '^@', '') from rec
+  union all select key, 'p:', regexp_replace(regexp_replace(lower(trim(page)), '[?#].*$', ''), '/$', '') from rec
+  union all select key, 'e:', lower(trim(unnest(entities))) from rec
+), ties as (
+  select distinct key, kind || v as v from marks where v is not null and (kind = 'b:' or (v <> '' and v not in (select filler from placeholder_values)))
+)"""
+
 SQL: dict[str, str] = {
+    "p2_found": f"""with recursive {_KEYS}, cc(key, root) using key (key) as (
+      select key, key as root from keys
+      union
+      select b.key, min(a.root) from cc a join ties ta on ta.key = a.key join ties tb on tb.v = ta.v join recurring.cc b on b.key = tb.key where a.root < b.root group by b.key
+    ) select root as root_key, key from cc where root <> key""",
     "p1_found": f"{_SAMPLE} select batch, axis, category from grid where available < required",
     "p4_found": f"{_RANKED} select s.pool_id from scored s join cutoffs c on c.source_id is not distinct from s.source_id and c.edit_type = s.edit_type where s.total_score >= c.cutoff",
     "p4_cutoffs": f"""{_RANKED} select c.source_id, c.edit_type, c.n, c.target_kept, c.cutoff, count(s.pool_id) as kept
