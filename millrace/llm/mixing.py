@@ -18,6 +18,8 @@ from millrace.scratch import Kept, keep
 #: The mixes are a table written by people; more rows than this is an error.
 TARGET_ROWS = 2_000
 FEATURES = 1 << 13
+#: Documents added to a source, one by one, to come nearer to its target.
+FILLS = 3
 
 
 @dataclass
@@ -77,9 +79,10 @@ def mix_sources(documents: DataFrame, targets: DataFrame, snapshot: str, doc: st
     ``max_repeat`` of its source, or of the most probable one.
 
     Rates become whole repeats in seeded hash order: all documents of a source
-    get floor(r), and those first in order one more until the tokens are met to
-    the nearest document; an unlabelled document gets the extra one with the
-    probability of its fraction.  Repeats never exceed the limit.
+    get floor(r); those first in order get one more while the target isn't
+    exceeded, and so do up to FILLS documents whose sizes fit best what is left.
+    An unlabelled document gets the extra one with the probability of its
+    fraction.  Repeats never exceed the limit.
 
     ``repeats``: rows with at least one repeat.  ``shares``: mix, snapshot,
     source, weight_pct, max_repeat, total_tokens (of all documents in the
@@ -161,8 +164,14 @@ def mix_sources(documents: DataFrame, targets: DataFrame, snapshot: str, doc: st
     per_domain = rates.groupBy(*cells).agg(F.collect_list(F.struct("mix", "rate", "have")).alias("mixes"))  # a row per mix
     chosen = lookup_join(labelled, per_domain, cells, cells_count * max(1, len(domains)), F.col("order")).withColumn("m", F.explode("mixes"))
     whole = F.floor("m.rate")
-    more = (F.col("before") + F.col("tokens") / 2.0 <= (F.col("m.rate") - whole) * F.col("m.have")).cast("int")
-    used = chosen.where("tokens > 0").select(F.col("m.mix").alias("mix"), "snap", "doc", F.col("domain").alias("source"), "tokens", (whole + more).cast("int").alias("repeats"), F.lit(False).alias("soft")).where("repeats > 0")
+    need = (F.col("m.rate") - whole) * F.col("m.have")
+    picked = chosen.where("tokens > 0").select(F.col("m.mix").alias("mix"), "snap", "doc", "domain", "tokens", "order", whole.alias("whole"), need.alias("need"), (F.col("before") + F.col("tokens") <= need).alias("more"))
+    picked = keep(picked, "mix-picked")
+    fills = _fill(picked.df, cells_count * max(1, len(domains)))
+    places = ["mix", "snap", "domain"]
+    final = lookup_join(picked.df, fills.df.select(*places, "picks"), places, cells_count * max(1, len(domains)), F.col("order"))
+    repeats = F.col("whole") + (F.col("more") | F.array_contains("picks", F.col("doc"))).cast("int")
+    used = final.select("mix", "snap", "doc", F.col("domain").alias("source"), "tokens", repeats.cast("int").alias("repeats"), F.lit(False).alias("soft")).where("repeats > 0")
     if soft_rates is not None:
         draw = F.pmod(hash_order(seed + 1, F.col("doc").cast("string"), F.col("mix")), F.lit(1 << 30)) / float(1 << 30)
         soft_used = soft_rates.select("mix", "snap", "doc", F.lit(None).cast("string").alias("source"), "tokens", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("int").alias("repeats"), F.lit(True).alias("soft")).where("repeats > 0")
@@ -182,5 +191,26 @@ def mix_sources(documents: DataFrame, targets: DataFrame, snapshot: str, doc: st
     return Mix(out.df.select("mix", _snapshot(), F.col("doc").alias(doc), "source", "repeats"), shares)
 
 
+def _fill(picked: DataFrame, cells: int) -> Kept:
+    """Per mix, snapshot and source up to FILLS documents that bring the tokens nearest to what is needed.
+
+    Every round takes the one document whose size is nearest to what is left,
+    if it brings the sum nearer; only the table of sources is written again.
+    """
+    places = ["mix", "snap", "domain"]
+    doc = dict(picked.dtypes)["doc"]
+    left = F.max("need") - F.sum(F.when(F.col("more"), F.col("tokens")).otherwise(0))
+    state = keep(picked.groupBy(*places).agg(left.alias("left"), F.array().cast(f"array<{doc}>").alias("picks")), "mix-fill")
+    for _ in range(FILLS):
+        off = F.abs(F.col("left") - F.col("tokens"))
+        open_rows = lookup_join(picked.where("not more"), state.df, places, cells, F.col("order")).where((off < F.col("left")) & ~F.array_contains("picks", F.col("doc")))
+        best = open_rows.groupBy(*places).agg(F.min_by(F.struct("doc", "tokens"), F.struct(off, "order", "doc")).alias("b"))
+        hit = F.col("b").isNotNull()
+        after = state.df.join(best, places, "left").select(*places, (F.col("left") - F.coalesce("b.tokens", F.lit(0))).alias("left"), F.when(hit, F.concat("picks", F.array("b.doc"))).otherwise(F.col("picks")).alias("picks"))
+        older, state = state, keep(after, "mix-fill")
+        older.drop()
+    return state
+
+
 def _snapshot() -> Column:
     return F.expr("if(snap = 'null', null, substring(snap, 2))").alias("snapshot")
