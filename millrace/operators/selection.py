@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections import Counter
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.ranking import BINS, bin_offsets, binned_rank, hash_bin
+from millrace.scratch import keep
+
+_WORD = (1 << 64) - 1
 
 
 def largest_remainder(weights: Sequence[float], seats: int, ties: str = "weight", empty: str = "even") -> list[int]:
@@ -70,38 +73,67 @@ def quota_then_backfill(rows: DataFrame, stratum: str, key: str, score: str, quo
     return ranked.orderBy(*order).limit(total).drop("__place")
 
 
+def _among(column: str, values: Sequence) -> Column:
+    """Whether the column has one of the values, of which null may be one."""
+    known = [v for v in values if v is not None]
+    hit = F.coalesce(F.col(column).isin(known), F.lit(False)) if known else F.lit(False)
+    return hit | F.col(column).isNull() if None in values else hit
+
+
+def _far(bits: str, seen: Sequence[int], least_distance: int) -> Column:
+    """Whether the bits are ``least_distance`` or more from all patterns seen; null is."""
+    apart = F.forall(F.lit(list(seen)), lambda other: F.bit_count(F.col(bits).cast("bigint").bitwiseXOR(other.cast("bigint"))) >= least_distance)
+    return F.coalesce(apart, F.lit(True))
+
+
 def greedy_selection(rows: DataFrame, key: str, order: Sequence[Column], group: str, per_group: int, per_stratum: int, stratum: str, bits: str | None, least_distance: int, total: int, over_fetch: int = 8) -> DataFrame:
     """Takes rows in order unless a cap is reached or the bits are too close to a row already taken.
 
     Each decision depends on the ones before, so it is sequential by
-    definition.  The candidates are first cut, in parallel, to the best
-    ``over_fetch`` * ``per_stratum`` rows of each stratum; what is left is bounded
-    by the strata times that number and is decided by one task.  A stratum that
-    can't fill its cap within its over-fetch is reported by ``cut_short``.
+    definition.  The rows are sorted once, in parallel, and decided in blocks of
+    ``over_fetch`` * ``total``; before every block the rows that the caps and
+    patterns so far exclude for good are left out, in parallel.  So the first
+    row of a block is always taken, there are at most ``total`` + 1 blocks and no
+    row that the rule allows is lost.  Without bits a row can only be taken
+    if it is among the first ``per_group`` of its stratum and group, and then
+    among the first ``total`` + ``per_stratum`` of its stratum; the others aren't
+    sorted.  ``cut_short`` is false, as no stratum is cut.
     """
-    pruned = capped(rows, [stratum], order, over_fetch * per_stratum, "__place")
-    ordered = pruned.orderBy(*order).coalesce(1)
-    columns = [key, group, stratum, *([bits] if bits else []), "__place"]
-
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by_group: dict = {}
-        by_stratum: dict = {}
-        seen: list[int] = []
-        for batch in batches:
-            taken = []
-            for row in batch.itertuples(index=False):
-                k, g, s = row[0], row[1], row[2]
-                if sum(by_stratum.values()) >= total or by_group.get(g, 0) >= per_group or by_stratum.get(s, 0) >= per_stratum:
-                    continue
-                if bits:
-                    pattern = int(row[3])
-                    if any((pattern ^ other).bit_count() < least_distance for other in seen):
-                        continue
-                    seen.append(pattern)
-                by_group[g] = by_group.get(g, 0) + 1
-                by_stratum[s] = by_stratum.get(s, 0) + 1
-                taken.append((k, g, s, row[-1] >= over_fetch * per_stratum))
-            yield pd.DataFrame(taken, columns=[key, group, stratum, "cut_short"])
-
+    spark = rows.sparkSession
     types = dict(rows.dtypes)
-    return ordered.select(*columns).mapInPandas(choose, f"`{key}` {types[key]}, `{group}` {types[group]}, `{stratum}` {types[stratum]}, cut_short boolean")
+    schema = f"`{key}` {types[key]}, `{group}` {types[group]}, `{stratum}` {types[stratum]}, cut_short boolean"
+    if min(per_group, per_stratum, total) <= 0:
+        return spark.createDataFrame([], schema)
+    if not bits:
+        rows = capped(rows, [stratum, group], order, per_group, "__place")
+        rows = capped(rows, [stratum], order, total + per_stratum, "__place")
+    columns = {"__key": key, "__group": group, "__stratum": stratum, **({"__bits": bits} if bits else {})}
+    placed = keep(rows.orderBy(*order).select(*[F.col(c).alias(a) for a, c in columns.items()], F.monotonically_increasing_id().alias("__at")), "greedy-rows")
+    by_group: Counter = Counter()
+    by_stratum: Counter = Counter()
+    seen: list[int] = []
+    taken: list[tuple] = []
+    at, size = -1, over_fetch * total
+    while len(taken) < total:
+        left = placed.df.where(F.col("__at") > at)
+        left = left.where(~_among("__group", [g for g, n in by_group.items() if n >= per_group]))
+        left = left.where(~_among("__stratum", [s for s, n in by_stratum.items() if n >= per_stratum]))
+        if seen:
+            left = left.where(_far("__bits", seen, least_distance))
+        block = left.orderBy("__at").limit(size).collect()
+        for row in block:
+            g, s, pattern = row["__group"], row["__stratum"], row["__bits"] if bits else None
+            if len(taken) >= total or by_group[g] >= per_group or by_stratum[s] >= per_stratum:
+                continue
+            if pattern is not None:
+                if any(((pattern ^ other) & _WORD).bit_count() < least_distance for other in seen):
+                    continue
+                seen.append(pattern)
+            by_group[g] += 1
+            by_stratum[s] += 1
+            taken.append((row["__key"], g, s, False))
+        if len(block) < size:
+            break
+        at = block[-1]["__at"]
+    placed.drop()
+    return spark.createDataFrame(taken, schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -82,6 +83,40 @@ def test_selection(spark):
     assert greedy_selection(rows.limit(0), "k", [F.col("k")], "g", 2, 5, "s", None, 0, 15).count() == 0
 
 
+def greedy_by_hand(rows, per_group, per_stratum, least_distance, total):
+    seen, by_g, by_s, want = [], Counter(), Counter(), []
+    for r in sorted(rows, key=lambda r: (-r[3], r[0])):
+        k, s, g, _, bits = r
+        if len(want) >= total or by_g[g] >= per_group or by_s[s] >= per_stratum:
+            continue
+        if bits is not None:
+            if any(((bits ^ b) & (1 << 64) - 1).bit_count() < least_distance for b in seen):
+                continue
+            seen.append(bits)
+        by_g[g] += 1
+        by_s[s] += 1
+        want.append(k)
+    return want
+
+
+def test_greedy_selection_reaches_past_a_dominant_source(spark):
+    rng = random.Random(4)
+    schema = "k int, s string, g string, x double, bits long"
+    # one source, and one pattern with its neighbours, holds the best rows of every stratum
+    table = []
+    for i in range(900):
+        best = i < 400
+        table.append((i, f"s{i % 3}", "hot" if best else rng.choice([None, *(f"g{j}" for j in range(60))]), float(1000 - i), 1 << i % 2 if best else rng.choice([None, rng.getrandbits(64) - (1 << 63)])))
+    rows = spark.createDataFrame(table, schema).repartition(5)
+    for bits, over_fetch in ((None, 8), ("bits", 8), ("bits", 1)):
+        got = greedy_selection(rows, "k", [F.desc("x"), F.col("k")], "g", 2, 5, "s", bits, 6, 14, over_fetch).collect()
+        want = greedy_by_hand([r if bits else (*r[:4], None) for r in table], 2, 5, 6, 14)
+        assert sorted(r.k for r in got) == sorted(want) and len(want) == 14
+    one_each = spark.createDataFrame([(k, s, f"own{k}", x, b) for k, s, _, x, b in table], schema)
+    got = greedy_selection(one_each, "k", [F.desc("x"), F.col("k")], "g", 1, 5, "s", "bits", 6, 14, 1).collect()
+    assert sorted(r.k for r in got) == sorted(greedy_by_hand([(k, s, k, x, b) for k, s, _, x, b in table], 1, 5, 6, 14)) and len(got) == 14
+
+
 def test_folds(spark):
     rows = spark.createDataFrame([("a", 2, 20.0), ("a", 1, 10.0), ("a", 3, 0.0), ("b", 1, None), ("c", 1, 5.0)], "g string, o int, v double")
     out = {r.g: (r.e, r.l) for r in ordered_values(rows, ["g"], "o", "v").select("g", smoothed(F.col("rounds"), 0.4).alias("e"), stepped_level(F.col("rounds"), 2, 5.0, 10.0, 1, 3).alias("l")).collect()}
