@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.ordered import is_finite, ordered_bits
@@ -12,7 +12,7 @@ from millrace.functions.text import base_key, token_count, trimmed_lower
 from millrace.llm.cutoff import Cutoffs, cutoff_report, kept_rows, share_cutoffs
 from millrace.llm.cutting import cut
 from millrace.llm.group_splits import ComponentStore, splits, tied_keys, update_components
-from millrace.llm.mixing import Mix, mix_sources
+from millrace.llm.mixing import Mix, domain_model, mix_sources
 from millrace.llm.packing import pack
 from millrace.llm.quota_sample import QuotaSample, quota_sample
 from millrace.llm.top_items import top_items
@@ -29,6 +29,14 @@ def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def whole_list(rows: DataFrame, what: str, most: int = 10_000) -> list[Row]:
+    """All rows of a table written by people; more than ``most`` is an error, never a cut."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} {what}")
+    return found
+
+
 def known_edit_type(spark: SparkSession, sf: str, rows: DataFrame, column: str) -> DataFrame:
     """``rows`` with ``known_type``: the edit type whose alias the trimmed lower-case value is."""
     names = _read(spark, sf, "edit_type_names").select(F.col("alias").alias("__alias"), F.col("edit_type").alias("known_type"))  # fixed, 44 rows
@@ -39,7 +47,7 @@ def _sampled(spark: SparkSession, sf: str) -> QuotaSample:
     targets = _read(spark, sf, "sample_targets")
     pool = latest_by(_read(spark, sf, "pool_candidates").select("pool_id", "batch", "edit_type", "scored_at"), ["pool_id"], "scored_at")
     pool = known_edit_type(spark, sf, pool, "edit_type").select(F.lit("edit_type").alias("axis"), "batch", F.col("known_type").alias("category"), F.col("pool_id").cast("string").alias("record"))
-    families = [r[0] for r in targets.where("axis = 'family'").select("category").limit(1000).collect()]
+    families = [r[0] for r in whole_list(targets.where("axis = 'family'").select("category"), "families")]
     records = latest_by(_read(spark, sf, "source_records").select("key", "batch", "edit_families", "edit_families_text", "ingested_at"), ["key"], "ingested_at")
     text = F.trim("edit_families_text")
     as_list = F.when(text.startswith("["), F.from_json(text, "array<string>"))
@@ -63,7 +71,7 @@ def p1_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 def tie_values(spark: SparkSession, sf: str, rows: DataFrame) -> Column:
     """The values that tie a source record: base key, author, page and entities."""
-    fillers = [r[0] for r in _read(spark, sf, "placeholder_values").limit(1000).collect()]
+    fillers = [r[0] for r in whole_list(_read(spark, sf, "placeholder_values").select("filler").where("filler is not null"), "fillers")]
 
     def clean(x: Column, kind: str) -> Column:
         return F.when((x != "") & ~x.isin(fillers), F.concat(F.lit(kind), x))
@@ -144,10 +152,13 @@ def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
     return _packed(spark, sf)
 
 
-def _mixed(spark: SparkSession, sf: str) -> Mix:
+def _sourced(spark: SparkSession, sf: str) -> DataFrame:
     source = F.regexp_replace(trimmed_lower(F.col("source")), "-", "_")
-    documents = _read(spark, sf, "documents").select("doc_id", "text", "snapshot", source.alias("source"), token_count(F.col("text")).alias("n_tokens"))
-    return mix_sources(documents, _read(spark, sf, "mix_targets"), "snapshot", "doc_id", "text", "n_tokens", "source")
+    return _read(spark, sf, "documents").select("doc_id", "text", "snapshot", source.alias("source"))
+
+
+def _mixed(spark: SparkSession, sf: str) -> Mix:
+    return mix_sources(_sourced(spark, sf), _read(spark, sf, "mix_targets"), "snapshot", "doc_id", "text", "source")
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -162,6 +173,17 @@ def p7_repeats(spark: SparkSession, sf: str) -> DataFrame:
     return _mixed(spark, sf).repeats
 
 
+def p7_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """What each source has and should supply, as the operator counts it."""
+    return _mixed(spark, sf).shares.select("mix", "snapshot", "source", "weight_pct", "max_repeat", "total_tokens", "source_tokens", F.round("target_tokens", 3).alias("target_tokens"), "is_short")
+
+
+def p7_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """How well the classifier of the mix does on labelled documents that it was not fitted on."""
+    domains = sorted(r[0] for r in whole_list(_read(spark, sf, "mix_targets").select("source").distinct(), "sources of mixes"))
+    return domain_model(_sourced(spark, sf), domains, "doc_id", "text", "source").quality()
+
+
 def _pieces(spark: SparkSession, sf: str, include_small: bool) -> DataFrame:
     limit = _read(spark, sf, "size_limits").where("used_for = 'cut'").first()
     return cut(_read(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", limit.capacity, limit.overlap, include_small)
@@ -181,5 +203,5 @@ def p8_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_report, p1_sample, p2_found, p2_splits, p4_found, p4_cutoffs, p5_found, p6_found, p6_containers, p7_found, p7_shares, p7_repeats, p8_found, p8_pieces)
+    for f in (p1_found, p1_report, p1_sample, p2_found, p2_splits, p4_found, p4_cutoffs, p5_found, p6_found, p6_containers, p7_found, p7_shares, p7_repeats, p7_targets, p7_classifier, p8_found, p8_pieces)
 }

@@ -89,6 +89,9 @@ SQL: dict[str, str] = {
     "p7_found": f"""{_SHARES} select m.mix, t.snapshot, m.source from totals t cross join mix_targets m
       left join by_source b on b.snapshot is not distinct from t.snapshot and b.source = m.source
       where coalesce(b.tokens, 0) * m.max_repeat * 100 < m.weight_pct * t.total""",
+    "p7_targets": f"""{_SHARES} select m.mix, t.snapshot, m.source, m.weight_pct::double as weight_pct, m.max_repeat, t.total as total_tokens, coalesce(b.tokens, 0) as source_tokens,
+      round(m.weight_pct * t.total / 100.0, 3) as target_tokens, coalesce(b.tokens, 0) * m.max_repeat * 100 < m.weight_pct * t.total as is_short
+      from totals t cross join mix_targets m left join by_source b on b.snapshot is not distinct from t.snapshot and b.source = m.source""",
     "p8_found": f"""with lines as (
       select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from documents where {_TOKENS} > 384
     ), marked as (
