@@ -11,6 +11,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.scratch import keep
+
 FEATURES = 1 << 13
 LAYOUT_FEATURES = 1 << 10
 #: Shares of the labelled rows, by a hash of the content: words, blend, and the rest held out.
@@ -101,6 +103,7 @@ def fit_domains(labelled: DataFrame, domains: list[str], prior: dict[str, float]
         words = _fit_words(_numbered(labelled, every)) if len(every) > 1 else None
         return DomainModel(domains, words, None, every, prior, held_out)
     words = _fit_words(_numbered(parts[0], seen[0]))
-    blend_rows = _blended(words, _numbered(parts[1], seen[1])).select("__label", "__features", "weight")
+    # written once, as the regression makes several passes
+    blend_rows = keep(_blended(words, _numbered(parts[1], seen[1])).select("__label", "__features", "weight"), "domain-blend").df
     blend = LogisticRegression(featuresCol="__features", labelCol="__label", weightCol="weight", regParam=0.001, maxIter=20, family="multinomial", probabilityCol="__probability", rawPredictionCol="__raw2", predictionCol="__pred2").fit(blend_rows)
     return DomainModel(domains, words, blend, seen[1], prior, held_out)

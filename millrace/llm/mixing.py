@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -23,6 +22,9 @@ from millrace.scratch import Kept, keep
 TARGET_ROWS = 2_000
 #: Steps after which the rates are written, so that a row's fold stays short.
 STEPS_A_WRITE = 20
+ROWS_A_TASK = 50_000
+#: The first steps are so much longer than the bound on the curvature allows for certain.
+FIRST_STEP = 64
 #: Mixes times snapshots that are fitted at once; more are fitted chunk by chunk.
 CELLS = 4_096
 
@@ -46,7 +48,7 @@ def _hard_rate(soft: Column | str) -> Column:
     return F.zip_with(wanted, "cap", lambda r, c: F.least(r, c))
 
 
-def domain_model(documents: DataFrame, domains: list[str], doc: str, text: str, source: str, train_rows: int = 3_000, seed: int = 0, pattern: str = TOKEN) -> DomainModel:
+def domain_model(documents: DataFrame, domains: list[str], doc: str, text: str, source: str, train_rows: int = 1_000, seed: int = 0, pattern: str = TOKEN) -> DomainModel:
     """The classifier alone, fitted as in ``mix_sources``."""
     base, counts = _tokenised(documents, domains, F.lit(None).cast("string"), doc, text, source, None, train_rows, seed, pattern)
     kept = keep(base.where("weight is not null"), "domain-rows")
@@ -79,7 +81,7 @@ def _tokenised(documents: DataFrame, domains: list[str], snap: Column, doc: str,
     return rows.withColumn("layout", marks).drop("__text", "__given", "__draw", "__share"), counts
 
 
-def mix_sources(documents: DataFrame, targets: DataFrame, snapshot: str, doc: str, text: str, source: str, tokens: str | None = None, tolerance: float = 1e-3, train_rows: int = 3_000, max_steps: int = 2_000, seed: int = 0, pattern: str = TOKEN) -> Mix:
+def mix_sources(documents: DataFrame, targets: DataFrame, snapshot: str, doc: str, text: str, source: str, tokens: str | None = None, tolerance: float = 1e-3, train_rows: int = 1_000, max_steps: int = 2_000, seed: int = 0, pattern: str = TOKEN) -> Mix:
     """How often each document goes into each mix, so that sources supply their target shares.
 
     ``documents``: one row per document with its text and its ``source``,
@@ -95,7 +97,8 @@ def mix_sources(documents: DataFrame, targets: DataFrame, snapshot: str, doc: st
     (``domains.fit_domains``); everything else covers all rows.  Rates r
     between 0 and the repeat limit minimise the squared distance of the expected
     tokens per source from their targets by accelerated projected gradient
-    steps, scaled by the largest token mass of a source among the unlabelled.
+    steps; where a step overshoots, its momentum restarts and steps shorten, down
+    to what the largest token mass of a source among the unlabelled allows.
     Documents with the same membership share a rate, so labelled ones are one
     variable per source and snapshot and always at their optimum; the others are
     updated row by row where they lie, and only vectors per mix and snapshot
@@ -150,11 +153,14 @@ def mix_sources(documents: DataFrame, targets: DataFrame, snapshot: str, doc: st
     cells = state.count()
     model, soft_kept, fitted_soft = None, [], []
     if state.df.where(F.col("soft_total") > 0).where(F.exists(_minus("goal", F.zip_with(_hard_rate(F.array(*[F.lit(0.0) for _ in domains])), "have", lambda r, h: r * h)), lambda x: x > 0)).limit(1).count():
+        soft_count = soft_rows.count()
         model = fit_domains(kept.df.where("weight is not null"), domains, _prior(counts))
         top = (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int")
         slim = model.posterior(soft_rows).select("snap", "doc", "tokens", "order", "posterior", F.explode(names).alias("mix"))  # every mix sees every such document
         slim = lookup_join(slim, state.df.select("mix", "snap", "cell", "cap"), ["mix", "snap"], cells, F.col("order"), broadcast_rows=CELLS)
         zero = F.lit(0.0)
+        # every step is a pass over these rows: as few tasks as their number needs
+        slim = slim.coalesce(1 + soft_count * len(mixes) // ROWS_A_TASK)
         slim = keep(slim.select("cell", "mix", "snap", "doc", "tokens", "order", "posterior", F.get("cap", top).alias("limit"), zero.alias("r"), zero.alias("y")), "mix-soft")
         ids = sorted(r[0] for r in state.df.where(F.col("soft_total") > 0).select("cell").collect())  # a number per mix and snapshot
         for at in range(0, len(ids), CELLS):
@@ -221,10 +227,11 @@ class _Cells:
 
 
 def _walk(posterior: np.ndarray, limit: np.ndarray, r: np.ndarray, y: np.ndarray, at: np.ndarray, steps: list) -> tuple[np.ndarray, np.ndarray]:
-    """Rates and extrapolated rates after the steps, each (direction per cell, momentum, cells that still move)."""
-    for direction, momentum, live in steps:
+    """Rates and extrapolated rates after the steps, each (direction, momentum, whether it moves, whether it drops its momentum) per cell."""
+    for direction, momentum, live, restart in steps:
+        y = np.where(restart[at], r, y)
         after = np.clip(y + np.einsum("ij,ij->i", posterior, direction[at]), 0.0, limit)
-        ahead = after + momentum * (after - r)
+        ahead = after + momentum[at] * (after - r)
         r, y = np.where(live[at], after, r), np.where(live[at], ahead, y)
     return r, y
 
@@ -265,13 +272,16 @@ def _descend(soft: Kept, cells: _Cells, tolerance: float, max_steps: int) -> tup
     # a bound on the curvature: the largest token mass that the unlabelled rows have in a source
     scale = total(masses, n).max(axis=1)
     gap, done = np.zeros(len(scale)), scale <= 0
+    # most of that mass is absorbed by the labelled rates, so steps start longer and shorten where they overshoot
+    curve = scale / FIRST_STEP
     lack = cells.lacking(cells.soft)
-    lack_ahead, pace, steps = lack, 1.0, []
+    lack_ahead, pace, restart, steps = lack, np.ones(len(scale)), np.zeros(len(scale), dtype=bool), []
     for k in range(max_steps):
-        following = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        following = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
         momentum, pace = (pace - 1) / following, following
-        direction = np.divide(lack_ahead, scale[:, None], out=np.zeros_like(lack), where=scale[:, None] > 0)
-        given, one = list(steps), (direction, momentum, ~done)
+        towards = np.where(restart[:, None], lack, lack_ahead)
+        direction = np.divide(towards, curve[:, None], out=np.zeros_like(lack), where=scale[:, None] > 0)
+        given, one = list(steps), (direction, momentum, ~done, restart)
 
         def step(batch: pa.RecordBatch, given: list = given, one: tuple = one, lack: np.ndarray = lack) -> tuple:
             posterior, limit, r, y, at, tokens = _columns(batch, cells.ids, n)
@@ -285,10 +295,13 @@ def _descend(soft: Kept, cells: _Cells, tolerance: float, max_steps: int) -> tup
         sums = total(step, 1 + 2 * n)
         gap = np.where(done, gap, np.sqrt(2.0 * np.maximum(sums[:, 0], 0.0)))
         reached = done | (gap <= tolerance * cells.total)
-        steps.append((direction, momentum, ~reached))
+        steps.append((direction, momentum, ~reached, restart))
         done = reached
         cells.soft = np.where(done[:, None], cells.soft, sums[:, 1 : 1 + n])
-        lack, lack_ahead = cells.lacking(cells.soft), cells.lacking(sums[:, 1 + n :])
+        before, lack, lack_ahead = (lack**2).sum(axis=1), cells.lacking(cells.soft), cells.lacking(sums[:, 1 + n :])
+        restart = (lack**2).sum(axis=1) > before  # the momentum has carried a cell too far
+        pace = np.where(restart, 1.0, pace)
+        curve = np.where(restart, np.minimum(4 * curve, scale), curve)
         if done.all() or k + 1 == max_steps or len(steps) == STEPS_A_WRITE:
             walked = list(steps)
 

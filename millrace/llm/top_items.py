@@ -11,6 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bytes of the files read that a bucket is meant for; sizes from here on mean that the optimizer knows none; the most buckets.
+BUCKET_BYTES = 64 << 20
+UNKNOWN_BYTES = 1 << 60
+MOST_BUCKETS = 100_000
+#: Rows of one group in progress after which its runs are merged and cut.
+HELD = 50_000
+
 
 class LoserTree:
     """Merges sorted runs; each internal node holds the run that lost there.
@@ -130,41 +137,68 @@ def _codes(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def merge_table(table: pa.Table, run: str, groups: Sequence[str], order: Sequence[str], top: int) -> pa.Table:
-    """The first ``top`` rows of each group over all runs of a bucket, with their ``rank``."""
-    if not table.num_rows:
+    """The first ``top`` rows of each group with their ``rank``; the rows come by group, run and order."""
+    rows = table.num_rows
+    if not rows:
         return table.drop_columns([run]).append_column("rank", pa.array([], pa.int32()))
-    by_group = np.zeros(table.num_rows, dtype=np.int64)
-    for g in groups:  # one number per group
-        codes = _codes(table.column(g)) + 1
-        _, by_group = np.unique(by_group * (int(codes.max()) + 1) + codes, return_inverse=True)
+    group = np.cumsum(_changes([table.column(g) for g in groups], rows)) - 1
     keys = [_codes(table.column(c)) for c in order]
     run_of = np.asarray(table.column(run).combine_chunks())
-    runs, firsts, rows = [], [], []
-    for number in np.unique(run_of):
-        index = np.flatnonzero(run_of == number)
-        own = [by_group[index], *(k[index] for k in keys)]
-        sorting = np.lexsort(own[::-1])
-        # runs arrive sorted by the groups' own order; their numbers here must ascend as well
-        if not np.array_equal(sorting, np.arange(len(index))):
-            index, own = index[sorting], [c[sorting] for c in own]
-        group = own[0]
-        ends = np.append(np.flatnonzero(np.diff(group)) + 1, len(group))
+    by_run = np.argsort(run_of, kind="stable")  # within a run the rows ascend by group and order
+    runs, firsts, places = [], [], np.split(by_run, np.flatnonzero(np.diff(run_of[by_run])) + 1)
+    for index in places:
+        own = group[index]
+        ends = np.append(np.flatnonzero(np.diff(own)) + 1, len(own))
         firsts.append(np.repeat(ends, np.diff(np.insert(ends, 0, 0))).tolist())
-        runs.append(list(zip(*(c.tolist() for c in own), strict=True)))
-        rows.append(index)
+        runs.append(list(zip(own.tolist(), *(k[index].tolist() for k in keys), strict=True)))
     tree = LoserTree(runs, firsts)
-    take, ranks, group, given = [], [], None, 0
+    take, ranks, at_group, given = [], [], None, 0
     while (step := tree.pop()) is not None:
         r, at = step
         current = runs[r][at][0]
-        group, given = (current, 1) if current != group else (group, given + 1)
-        take.append(rows[r][at])
+        at_group, given = (current, 1) if current != at_group else (at_group, given + 1)
+        take.append(places[r][at])
         ranks.append(given)
         if given == top:
-            tree.seek(group)
+            tree.seek(at_group)
     return table.take(pa.array(take)).drop_columns([run]).append_column("rank", pa.array(ranks, pa.int32()))
 
 
+def merge_stream(batches: Iterator[pa.RecordBatch], run: str, groups: Sequence[str], order: Sequence[str], top: int) -> Iterator[pa.Table]:
+    """Merges a bucket batch by batch; held are one batch and the runs of the group that it ends in.
+
+    A run has at most ``top`` rows of a group, so a group in progress is cut
+    again whenever it has grown past ``HELD`` rows: what the merge of its runs
+    so far leaves out can't be among its first ``top``.
+    """
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([held, table]) if held is not None else table
+        new = np.flatnonzero(_changes([table.column(g) for g in groups], table.num_rows))
+        if new[-1]:
+            yield merge_table(table.slice(0, int(new[-1])), run, groups, order, top)
+            table = table.slice(int(new[-1]))
+        if table.num_rows > HELD:
+            merged = merge_table(table, run, groups, order, top).drop_columns(["rank"])
+            # the survivors form a run of their own, before all that follow
+            table = merged.append_column(run, pa.array(np.full(merged.num_rows, -1), table.schema.field(run).type)).select(table.column_names)
+        held = table.combine_chunks()
+    if held is not None:
+        yield merge_table(held, run, groups, order, top)
+
+
+def _buckets(items: DataFrame) -> int:
+    """As many buckets as the session's shuffles have, or more where the size of the tables read needs them."""
+    leaves = items._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    known = sum(n for n in sizes if n < UNKNOWN_BYTES)
+    least = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(least, known // BUCKET_BYTES), MOST_BUCKETS)
+
+
 def top_items(items: DataFrame, groups: Sequence[str], order: Sequence[str], top: int, buckets: int | None = None) -> DataFrame:
     """The first ``top`` rows of every group by ``order`` (ascending), with their ``rank``.
 
@@ -175,24 +209,24 @@ def top_items(items: DataFrame, groups: Sequence[str], order: Sequence[str], top
     make them distinct first if copies shall count once.  Null group keys form
     a group.  An empty table gives no rows; other columns are carried along.
 
-    Every input partition becomes a run, sorted by bucket, group and order and
-    cut to ``top`` rows a group.  The shuffle stores the runs by bucket.  One
-    task a bucket merges its runs with a loser tree and after ``top`` rows seeks
-    every run to the next group.  A group of any size sends at most ``top`` rows
-    a run to its bucket.
+    Every input partition becomes a run, sorted by group and order and cut to
+    ``top`` rows a group.  The shuffle stores the runs by bucket, in the order
+    of group, run and rank (a sort that spills); how many buckets follows from
+    the size of the tables read.  One task a bucket reads them as a stream,
+    merges the runs of the groups in a batch with a loser tree and after ``top``
+    rows seeks every run to the next group.  A task holds one batch and the
+    group it ends in, whatever the size of its bucket, and a group of any size
+    sends at most ``top`` rows a run to its bucket.
     """
-    spark = items.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or _buckets(items)
     names = list(items.columns)
-    runs = items.withColumn("__bucket", F.pmod(F.xxhash64(*groups), F.lit(buckets)).cast("int")).sortWithinPartitions("__bucket", *groups, *order)
+    runs = items.sortWithinPartitions(*groups, *order)
     cut = runs.mapInArrow(_cut_runs(groups, top), runs.schema).withColumn("__run", F.spark_partition_id())
-    stored = cut.repartition(buckets, "__bucket").drop("__bucket")
+    stored = cut.repartition(buckets, *groups).sortWithinPartitions(*groups, "__run", *order)
     schema = T.StructType([*items.schema.fields, T.StructField("rank", T.IntegerType())])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if held:
-            merged = merge_table(pa.Table.from_batches(held), "__run", groups, order, top)
+        for merged in merge_stream(batches, "__run", groups, order, top):
             yield from merged.select([*names, "rank"]).to_batches(max_chunksize=20_000)
 
     return stored.mapInArrow(merge, schema)

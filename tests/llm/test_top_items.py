@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
+
+import millrace.llm.top_items as top_items_module
 from millrace.llm.top_items import LoserTree, top_items
 
 
@@ -62,3 +65,33 @@ def test_many_batches_in_a_run(spark):
 
 def test_empty(spark):
     assert top_items(spark.createDataFrame([], SCHEMA).drop("rank"), ["axis", "g"], ["worst"], 3).count() == 0
+
+
+def test_merge_holds_one_batch_and_one_group():
+    """A bucket of many batches, with one group far larger than what is held."""
+    rng = random.Random(5)
+    rows = []
+    for g, n in (("a", 3), ("hot", 4000), ("z", 200)):
+        for run in range(n):
+            rows += [(g, run, x, f"{g}{run}") for x in sorted(rng.sample(range(-(10**6), 10**6), 2))]
+    seen: list[int] = []
+
+    def batches():
+        for i in range(0, len(rows), 50):
+            columns = list(zip(*rows[i : i + 50], strict=True))
+            seen.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()), pa.array(columns[3])], names=["g", "__run", "x", "other"])
+
+    held, top_items_module.HELD = top_items_module.HELD, 100
+    try:
+        got = []
+        for part in top_items_module.merge_stream(batches(), "__run", ["g"], ["x"], 3):
+            assert part.num_rows <= 60
+            got += [(r["g"], r["x"], r["other"], r["rank"]) for r in part.to_pylist()]
+    finally:
+        top_items_module.HELD = held
+    want = []
+    for g in ("a", "hot", "z"):
+        own = sorted((x, other) for h, _, x, other in rows if h == g)[:3]
+        want += [(g, x, other, i + 1) for i, (x, other) in enumerate(own)]
+    assert got == want and len(seen) == len(range(0, len(rows), 50))
