@@ -25,3 +25,29 @@ def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], small_rows:
     spread = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = big.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
     return salted.join(spread, [*on, "__salt"], how).drop("__salt")
+
+
+#: Keys of a join with more rows than both of these are hot: a number, and a share of all rows.
+HOT_ROWS = 1_000_000
+HOT_SHARE = 1 / 1000
+
+
+def hot_join(big: DataFrame, small: DataFrame, on: str, big_rows: int, small_rows: int, how: str = "inner", broadcast_rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``big`` joined with ``small``, unique by ``on``, where ``small`` may be large and a few keys of ``big`` hot.
+
+    Both sizes are counted ones.  A small side of up to ``broadcast_rows`` is
+    broadcast.  Beyond that the hot keys of ``big`` (fewer than 1 / HOT_SHARE
+    by their definition) are found by a count that is combined before its
+    shuffle; their rows meet the few rows of ``small`` by a broadcast, all
+    others by a shuffle.  ``how``: inner or left.
+    """
+    if small_rows <= broadcast_rows:
+        return big.join(F.broadcast(small), on, how)
+    least = max(hot_rows, int(big_rows * HOT_SHARE))
+    if big_rows <= least:
+        return big.join(small, on, how)
+    hot = [r[0] for r in big.where(F.col(on).isNotNull()).groupBy(on).count().where(F.col("count") > least).collect()]
+    if not hot:
+        return big.join(small, on, how)
+    is_hot = F.coalesce(F.col(on).isin(hot), F.lit(False))
+    return big.where(is_hot).join(F.broadcast(small.where(is_hot)), on, how).unionByName(big.where(~is_hot).join(small.where(~is_hot), on, how))

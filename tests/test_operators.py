@@ -154,3 +154,15 @@ def test_latest_table_repeats_nothing(spark, tmp_path):
     assert sorted((r.k, r.s) for r in table.read().collect()) == want
     table(spark.createDataFrame([(1, "again", 99)], "k int, s string, at int"), 0)
     assert sorted((r.k, r.s) for r in table.read().collect()) == want
+
+
+def test_hot_join_keeps_every_row(spark):
+    from millrace.operators.lookup import hot_join
+
+    big = spark.createDataFrame([("hot" if i % 3 else f"k{i % 7}" if i % 2 else None, i) for i in range(500)], "k string, i int")
+    small = spark.createDataFrame([("hot", 1), ("k1", 2), ("k3", 3)], "k string, v int")
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, big.join(small, "k", how).collect()), key=repr)
+        for broadcast_rows, hot_rows in ((10, 10), (0, 100), (0, 10_000)):
+            got = hot_join(big, small, "k", 500, 3, how, broadcast_rows, hot_rows)
+            assert sorted(map(tuple, got.collect()), key=repr) == want
