@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.lookup import hot_join
 from millrace.scratch import Kept, keep
 
 #: The holders of one value are first tied within this many parts, then part to part.
@@ -32,7 +33,8 @@ def _jump(links: Kept) -> Kept:
     """Points every node of a forest (node, up) at its root."""
     while True:
         above = links.df.select(F.col("node").alias("up"), F.col("up").alias("up2"))
-        once = links.df.join(above, "up", "left").select("node", F.coalesce("up2", "up").alias("up"), F.col("up2").isNotNull().alias("moved"))
+        n = links.count()  # a large tree has most of its nodes under one root
+        once = hot_join(links.df, above, "up", n, n, "left").select("node", F.coalesce("up2", "up").alias("up"), F.col("up2").isNotNull().alias("moved"))
         moved = keep(once, "jump")
         links.drop()
         links = Kept.__new__(Kept)
@@ -57,13 +59,15 @@ def components(edges: DataFrame) -> Kept:
         roots = _jump(hooked)
         ru = roots.df.select(F.col("node").alias("u"), F.col("up").alias("ru"))
         rv = roots.df.select(F.col("node").alias("v"), F.col("up").alias("rv"))
-        moved = left.df.join(ru, "u").select("ru", "v").join(rv, "v", "left").select(F.col("ru").alias("a"), F.coalesce("rv", "v").alias("b")).where("a != b")
+        n_edges, n_roots = left.count(), roots.count()
+        lower = hot_join(left.df, ru, "u", n_edges, n_roots).select("ru", "v")
+        moved = hot_join(lower, rv, "v", n_edges, n_roots, "left").select(F.col("ru").alias("a"), F.coalesce("rv", "v").alias("b")).where("a != b")
         contracted = keep(moved.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
         if found is None:
             merged = keep(roots.df.select("node", F.col("up").alias("root")), "roots")
         else:
             up = roots.df.select(F.col("node").alias("root"), "up")
-            older = found.df.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+            older = hot_join(found.df, up, "root", found.count(), n_roots, "left").select("node", F.coalesce("up", "root").alias("root"))
             merged = keep(older.unionByName(roots.df.select("node", F.col("up").alias("root"))), "roots")
             found.drop()
         roots.drop()

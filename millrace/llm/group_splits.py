@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components, star_edges
-from millrace.scratch import Kept, keep, new_path
+from millrace.operators.lookup import hot_join
+from millrace.scratch import Kept, children, exists, keep, new_path, touch
 
 #: Components above this share of all keys are placed one by one; there are at most as many as fit into 1.
 LARGE_SHARE = 1 / 2000
@@ -18,31 +17,58 @@ BINS = 4096
 SPLIT_ROWS = 1000
 QUARANTINE = "quarantine"
 
-TABLES = {"keys": "key string, root_key string, split string, generation int", "values": "value string, root_key string"}
+TABLES = {"keys": "key string, node string, split string, generation int", "values": "value string, node string", "roots": "node string, root_key string"}
+COMMITTED = "_COMMITTED"
 
 
-@dataclass
 class ComponentStore:
-    """The persisted component table: generations of ``keys`` and ``values`` under one folder."""
+    """The persisted component table: generations under one folder, each committed by a marker.
+
+    A generation adds the rows of its new keys and values (``keys``,
+    ``values``), with the root they had when they came; what is there is never
+    written again.  ``roots`` tells which of those roots have been tied to a
+    smaller one since; it alone is rewritten, and holds a row per root that
+    lost its place, not per key.  A store opened by its path continues after
+    the last committed generation; what a failed update left is overwritten.
+    """
 
-    spark: SparkSession
-    path: str
-    generation: int = 0
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        done = [name for name in children(spark, self.path) if name.isdigit() and exists(spark, f"{self.path}/{name}/{COMMITTED}")]
+        self.generation = max((int(name) for name in done), default=0)
 
     @classmethod
     def fresh(cls, spark: SparkSession) -> ComponentStore:
+        """A store in the scratch folder, which ends with the session; open one by path to keep it."""
         return cls(spark, new_path(spark, "component-store"))
 
-    def table(self, name: str) -> DataFrame:
-        if not self.generation:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{self.generation:06d}/{name}")
+    def _read(self, name: str, generations: range) -> DataFrame:
+        paths = [f"{self.path}/{g:06d}/{name}" for g in generations]
+        return self.spark.read.schema(TABLES[name]).parquet(*paths) if paths else self.spark.createDataFrame([], TABLES[name])
+
+    def _with_roots(self, rows: DataFrame) -> DataFrame:
+        roots = self._read("roots", range(self.generation, self.generation + 1) if self.generation else range(0))
+        found = hot_join(rows, roots, "node", rows.count(), roots.count(), "left") if self.generation > 1 else rows.withColumn("root_key", F.lit(None).cast("string"))
+        return found.withColumn("root_key", F.coalesce("root_key", "node")).drop("node")
+
+    def keys(self) -> DataFrame:
+        """key, split, generation (in which it came) and root_key, the smallest key of its tied set."""
+        return self._with_roots(self._read("keys", range(1, self.generation + 1)))
+
+    def values(self) -> DataFrame:
+        """value and root_key, the smallest key of the set that it ties."""
+        return self._with_roots(self._read("values", range(1, self.generation + 1)))
 
-    def write(self, keys: DataFrame, values: DataFrame) -> None:
+    def roots(self) -> DataFrame:
+        return self._read("roots", range(self.generation, self.generation + 1) if self.generation else range(0))
+
+    def commit(self, keys: DataFrame, values: DataFrame, roots: DataFrame) -> None:
         after = f"{self.path}/{self.generation + 1:06d}"
-        keys.select("key", "root_key", "split", "generation").write.mode("overwrite").parquet(f"{after}/keys")
-        values.select("value", "root_key").write.mode("overwrite").parquet(f"{after}/values")
-        self.generation += 1  # a failed write leaves the old generation in use
+        keys.select("key", "node", "split", "generation").write.mode("overwrite").parquet(f"{after}/keys")
+        values.select("value", "node").write.mode("overwrite").parquet(f"{after}/values")
+        roots.select("node", "root_key").write.mode("overwrite").parquet(f"{after}/roots")
+        touch(self.spark, f"{after}/{COMMITTED}")
+        self.generation += 1
 
 
 def place_large(sizes: list[tuple[str, int]], wanted: dict[str, float], filled: dict[str, int]) -> dict[str, str]:
@@ -76,53 +102,72 @@ def update_components(store: ComponentStore, keyed: DataFrame, targets: DataFram
     one generation on.
     """
     spark = store.spark
-    old, old_values = store.table("keys"), store.table("values")
     rows = keep(keyed.where("key is not null"), "split-keys")
     holders = rows.df.select("key", F.explode("values").alias("value")).where("value is not null").select("value", F.col("key").alias("node"))
-    links = holders
+    links, fresh, new_values = holders, rows.df.select("key").distinct(), holders.groupBy("value").agg(F.min("node").alias("node"))
+    old_keys = spent = None
     if store.generation:
-        known = old.select("key", "root_key").join(rows.df.select("key").distinct(), "key", "left_semi")
-        touched = old_values.join(holders.select("value").distinct(), "value", "left_semi")
+        old_keys, old_values = store.keys(), store.values()
+        known = old_keys.select("key", "root_key").join(fresh, "key", "left_semi")
+        touched = keep(old_values.join(new_values.select("value"), "value", "left_semi"), "split-touched")
         # an earlier key or value stands for its component's root, tied through a value of its own
         own = known.select(F.concat(F.lit("\u0000"), "root_key").alias("value"), F.col("key").alias("node"))
         roots = own.select("value").distinct().select("value", F.substring("value", 2, 2**31 - 1).alias("node"))
-        links = links.unionByName(own).unionByName(roots).unionByName(touched.select("value", F.col("root_key").alias("node")))
+        links = links.unionByName(own).unionByName(roots).unionByName(touched.df.select("value", F.col("root_key").alias("node")))
+        fresh = fresh.join(old_keys.select("key"), "key", "left_anti")
+        new_values = new_values.join(touched.df.select("value"), "value", "left_anti")
+        spent = touched
     found = components(star_edges(links))
-    new_roots = found.df
-    fresh = rows.df.select("key").distinct()
+    n_found = found.count()
+    fresh, new_values = keep(fresh, "split-fresh"), keep(new_values, "split-values")
+
+    def rooted(table: Kept) -> DataFrame:
+        joined = hot_join(table.df, found.df, "node", table.count(), n_found, "left")
+        return joined.withColumn("node", F.coalesce("root", "node")).drop("root")
+
+    added = keep(rooted(keep(fresh.df.withColumn("node", F.col("key")), "split-nodes")).withColumn("split", F.lit(None).cast("string")).withColumn("generation", F.lit(store.generation + 1)), "split-placed")
+    # roots that were tied to a smaller one, now or in an earlier generation
+    merged = None
     if store.generation:
-        fresh = fresh.join(old.select("key"), "key", "left_anti")
-    all_keys = old.select("key", F.col("root_key").alias("before"), "split", "generation").unionByName(
-        fresh.select("key", F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("split"), F.lit(store.generation + 1).alias("generation"))
-    )
-    # an earlier key moves with its root, a new one by itself
-    moved = all_keys.withColumn("node", F.coalesce("before", "key")).join(new_roots, "node", "left").select("key", "before", "split", "generation", F.coalesce("root", "node").alias("root_key"))
-    placed = keep(moved, "split-placed")
-    after = placed.df
+        moved = found.df.join(old_keys.select(F.col("root_key").alias("node")).distinct(), "node", "left_semi").select("node", F.col("root").alias("root_key"))
+        earlier = store.roots()
+        again = hot_join(earlier.select(F.col("node").alias("from"), F.col("root_key").alias("node")), found.df, "node", earlier.count(), n_found, "left")
+        merged = keep(again.select(F.col("from").alias("node"), F.coalesce("root", "node").alias("root_key")).unionByName(moved), "split-roots")
+    roots_now = merged.df if merged else spark.createDataFrame([], TABLES["roots"])
+    after = added.df
     if targets is not None:
-        after = _assign(spark, placed.df, targets, seed)
-    values = old_values.select("value", F.col("root_key").alias("node")).unionByName(holders.groupBy("value").agg(F.min("node").alias("node")))
-    values = values.join(new_roots, "node", "left").groupBy("value").agg(F.min(F.coalesce("root", "node")).alias("root_key"))
-    store.write(after.select("key", "root_key", "split", "generation"), values)
-    for spent in (rows, found, placed):
-        spent.drop()
+        after = _assign(store, old_keys, added, found.df, n_found, targets, seed)
+    store.commit(after, rooted(new_values), roots_now)
+    for one in (rows, found, added, fresh, new_values, spent, merged):
+        if one is not None:
+            one.drop()
 
 
-def _assign(spark: SparkSession, keys: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
+def _assign(store: ComponentStore, old_keys: DataFrame | None, added: Kept, found: DataFrame, n_found: int, targets: DataFrame, seed: int) -> DataFrame:
+    """``added`` with the split of every new key."""
+    spark = store.spark
     wanted = targets.select("split_name", F.col("target_pct").cast("double")).orderBy("split_name").limit(SPLIT_ROWS + 1).collect()
     if len(wanted) > SPLIT_ROWS:
         raise ValueError(f"more than {SPLIT_ROWS} splits")
     whole = sum(r[1] for r in wanted)
-    total = keys.count()
+    split = F.when(F.col("split") != QUARANTINE, F.col("split"))
+    per_new = added.df.groupBy(F.col("node").alias("root_key")).agg(F.count("*").alias("n"))
+    filled: dict[str, int] = {}
+    if old_keys is None:
+        sized = per_new.withColumn("low", F.lit(None).cast("string")).withColumn("high", F.lit(None).cast("string"))
+    else:
+        filled = {r[0]: r[1] for r in old_keys.groupBy("split").count().collect()}
+        # the splits that the tied earlier components have: one row an earlier root
+        before = old_keys.groupBy(F.col("root_key").alias("node")).agg(F.min(split).alias("low"), F.max(split).alias("high"))
+        now = before.join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("root_key")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        sized = per_new.join(now, "root_key", "left")
+    total = added.count() + sum(filled.values())
     goal = {r[0]: r[1] / whole * total for r in wanted}
-    sizes = keep(
-        keys.groupBy("root_key").agg(F.count("*").alias("n"), F.count_if(F.col("split").isNull()).alias("unplaced"), F.min(F.when(F.col("split") != QUARANTINE, F.col("split"))).alias("low"), F.max(F.when(F.col("split") != QUARANTINE, F.col("split"))).alias("high")), "split-sizes"
-    )
+    sizes = keep(sized, "split-sizes")
     # new keys of a component whose earlier keys agree take its split; where they disagree, quarantine
     has_old = F.col("low").isNotNull()
     inherited = F.when(has_old, F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.lit(QUARANTINE)))
-    filled = {r[0]: r[1] for r in keys.where("split is not null").groupBy("split").count().collect()}
-    for r in sizes.df.where(has_old).groupBy(inherited.alias("split")).agg(F.sum("unplaced")).collect():
+    for r in sizes.df.where(has_old).groupBy(inherited.alias("split")).agg(F.sum("n")).collect():
         filled[r[0]] = filled.get(r[0], 0) + r[1]
     new = sizes.df.where(~has_old)
     # at most 1 / LARGE_SHARE components can be this large
@@ -141,8 +186,9 @@ def _assign(spark: SparkSession, keys: DataFrame, targets: DataFrame, seed: int)
         sized = sizes.df.join(F.broadcast(table), "root_key", "left")
     else:
         sized = sizes.df.withColumn("forced", F.lit(None).cast("string"))
-    per_root = sized.select("root_key", F.coalesce(inherited, "forced", chosen).alias("given"))
-    return keys.join(per_root, "root_key").withColumn("split", F.coalesce("split", "given")).drop("given")
+    per_root = sized.select(F.col("root_key").alias("node"), F.coalesce(inherited, "forced", chosen).alias("given"))
+    placed_keys = hot_join(added.df, per_root, "node", added.count(), sizes.count())
+    return placed_keys.withColumn("split", F.col("given")).drop("given")
 
 
 def fill_bins(sizes: dict[int, int], lacking: dict[str, float]) -> list[str]:
@@ -158,8 +204,8 @@ def fill_bins(sizes: dict[int, int], lacking: dict[str, float]) -> list[str]:
 
 def tied_keys(store: ComponentStore) -> DataFrame:
     """(root_key, key) of each key that isn't the smallest of its tied set."""
-    return store.table("keys").where("key != root_key").select("root_key", "key")
+    return store.keys().where("key != root_key").select("root_key", "key")
 
 
 def splits(store: ComponentStore) -> DataFrame:
-    return store.table("keys").select("key", "root_key", "split")
+    return store.keys().select("key", "root_key", "split")

@@ -108,6 +108,14 @@ def p2_splits(spark: SparkSession, sf: str) -> DataFrame:
     return splits(store)
 
 
+def p2_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Root and generation of every key of the store that p2_splits builds in two generations, opened again by its path."""
+    store = ComponentStore.fresh(spark)
+    update_components(store, _record_ties(spark, sf), None)
+    update_components(ComponentStore(spark, store.path), _log_ties(spark, sf), None)
+    return ComponentStore(spark, store.path).keys().select("key", "root_key", "generation")
+
+
 def _cutoffs(spark: SparkSession, sf: str) -> Cutoffs:
     pool = latest_by(_read(spark, sf, "pool_candidates").select("pool_id", "source_id", "edit_type", "total_score", "scored_at"), ["pool_id"], "scored_at")
     shares = _read(spark, sf, "keep_targets").select(F.col("edit_type").alias("known_type"), "keep_pct")  # fixed, 11 rows
@@ -203,5 +211,5 @@ def p8_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_report, p1_sample, p2_found, p2_splits, p4_found, p4_cutoffs, p5_found, p6_found, p6_containers, p7_found, p7_shares, p7_repeats, p7_targets, p7_classifier, p8_found, p8_pieces)
+    for f in (p1_found, p1_report, p1_sample, p2_found, p2_splits, p2_components, p4_found, p4_cutoffs, p5_found, p6_found, p6_containers, p7_found, p7_shares, p7_repeats, p7_targets, p7_classifier, p8_found, p8_pieces)
 }

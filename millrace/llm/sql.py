@@ -61,12 +61,15 @@ _KEYS = """rec as (
   select distinct key, kind || v as v from marks where v is not null and (kind = 'b:' or (v <> '' and v not in (select filler from placeholder_values)))
 )"""
 
-SQL: dict[str, str] = {
-    "p2_found": f"""with recursive {_KEYS}, cc(key, root) using key (key) as (
+_ROOTS = f"""with recursive {_KEYS}, cc(key, root) using key (key) as (
       select key, key as root from keys
       union
       select b.key, min(a.root) from cc a join ties ta on ta.key = a.key join ties tb on tb.v = ta.v join recurring.cc b on b.key = tb.key where a.root < b.root group by b.key
-    ) select root as root_key, key from cc where root <> key""",
+    )"""
+
+SQL: dict[str, str] = {
+    "p2_components": f"""{_ROOTS} select key, root as root_key, case when key in (select key from rec) then 1 else 2 end as generation from cc""",
+    "p2_found": f"""{_ROOTS} select root as root_key, key from cc where root <> key""",
     "p1_found": f"{_SAMPLE} select batch, axis, category from grid where available < required",
     "p4_found": f"{_RANKED} select s.pool_id from scored s join cutoffs c on c.source_id is not distinct from s.source_id and c.edit_type = s.edit_type where s.total_score >= c.cutoff",
     "p4_cutoffs": f"""{_RANKED} select c.source_id, c.edit_type, c.n, c.target_kept, c.cutoff, count(s.pool_id) as kept

@@ -103,3 +103,24 @@ def test_empty(spark):
     store = ComponentStore.fresh(spark)
     update_components(store, frame(spark, []), targets(spark))
     assert splits(store).count() == 0 and tied_keys(store).count() == 0
+
+
+def test_a_store_opened_by_path_goes_on(spark, tmp_path):
+    rng = random.Random(8)
+    parts = [[(f"{g}{i}", [f"v{rng.randint(0, 900)}", f"w{rng.randint(0, 900)}"]) for i in range(150)] for g in "zma"]
+    kept: dict[str, str] = {}
+    for n, part in enumerate(parts):
+        store = ComponentStore(spark, str(tmp_path / "store"))
+        assert store.generation == n
+        update_components(store, frame(spark, part), targets(spark))
+        # a later update that fails leaves no marker and no trace
+        (tmp_path / "store" / f"{n + 2:06d}" / "keys").mkdir(parents=True)
+        now = {r.key: r for r in splits(ComponentStore(spark, str(tmp_path / "store"))).collect()}
+        assert {k: now[k].split for k in kept} == kept
+        assert {k: r.root_key for k, r in now.items()} == brute([row for done in parts[: n + 1] for row in done])
+        kept = {k: r.split for k, r in now.items()}
+        added = spark.read.parquet(str(tmp_path / "store" / f"{n + 1:06d}" / "keys")).count()
+        assert added == len(part)  # earlier keys aren't written again
+    values = {r.value: r.root_key for r in ComponentStore(spark, str(tmp_path / "store")).values().collect()}
+    want = brute([row for part in parts for row in part])
+    assert values == {v: want[k] for part in parts for k, own in part for v in own}
