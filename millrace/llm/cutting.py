@@ -63,18 +63,26 @@ class CutText:
             line_from = line_to + 1
         if open_from is not None:
             self.blocks.append((open_from, at))
+        self.block_starts = [first for first, _ in self.blocks]
         for i in range(1, len(spans)):
             if self.starts[i] > self.ends[i - 1] and _SENTENCE_END.fullmatch(text, *spans[i - 1]):
                 self.bounds[SENTENCE].append(i)
 
-    def cut_at(self, a: int, b: int) -> tuple[int, str]:
-        """The strongest boundary near the middle of tokens a .. b."""
+    def cut_at(self, a: int, b: int, whole: int) -> tuple[int, str]:
+        """The strongest boundary near the middle of tokens a .. b; a block of up to ``whole`` tokens is never cut."""
         middle = (a + b) / 2
-        quarter = (b - a) / 4
-        for kind, near in ((BLOCK, True), (BLOCK, False), (LINE, True), (SENTENCE, True)):
+        # the block that the middle falls into: can it stay whole?
+        i = bisect.bisect_right(self.block_starts, middle) - 1
+        first, after = self.blocks[max(i, 0)]
+        keeps = after - first <= whole or not first < middle < after
+        half, most, all_of = (b - a) / 4, 3 * (b - a) / 8, (b - a) / 2
+        if keeps:
+            tries = ((BLOCK, half), (BLOCK, all_of), (LINE, half), (SENTENCE, half), (LINE, all_of), (SENTENCE, all_of))
+        else:  # it must be cut anyway, so a boundary at the far end of the part gains nothing
+            tries = ((BLOCK, most), (LINE, half), (SENTENCE, half), (LINE, most), (SENTENCE, most), (BLOCK, all_of), (LINE, all_of), (SENTENCE, all_of))
+        for kind, reach in tries:
             marks = self.bounds[kind]
-            low, high = (middle - quarter, middle + quarter) if near else (a + 1, b - 1)
-            low, high = max(low, a + 1), min(high, b - 1)
+            low, high = max(middle - reach, a + 1), min(middle + reach, b - 1)
             i = bisect.bisect_left(marks, middle)
             close = [m for m in marks[max(0, i - 1) : i + 1] if low <= m <= high]
             if close:
@@ -90,7 +98,7 @@ class CutText:
             if b - a <= (limit if a == 0 else limit - overlap):
                 done.append((a, b, kind))
                 continue
-            m, how = self.cut_at(a, b)
+            m, how = self.cut_at(a, b, limit - overlap)
             todo += [(m, b, how), (a, m, kind)]
         return done
 
@@ -121,9 +129,13 @@ def cut(documents: DataFrame, key: str, text: str, limit: int, overlap: int, inc
     """The ordered pieces of every text above ``limit`` tokens.
 
     A text is cut by recursive bisection: at the strongest boundary near its
-    middle, then each half that is still too long.  A part that holds a block
-    boundary is always cut at one, else at a line or sentence end in its middle
-    half, else between two tokens.  Then each piece but the first gets the
+    middle, then each half that is still too long.  Where the block in the
+    middle of a part can stay whole, the part is cut at the block end nearest to
+    its middle.  Where that block is too long to stay whole, it is cut at a block
+    end that leaves at least an eighth on either side, else at a line or sentence
+    end in the middle half, else at one further off, and so never leaves a
+    heading as a piece of its own for the sake of a block that is cut anyway.
+    Only a part without any boundary is cut between two tokens.  Then each piece but the first gets the
     ``overlap`` tokens before it in front (fewer only where the text has fewer
     before), so cores are at most ``limit - overlap`` tokens and no piece
     exceeds ``limit``.

@@ -14,10 +14,6 @@ from pyspark.sql import types as T
 from millrace.operators.ranking import bin_offsets, hash_bin, hash_order
 from millrace.scratch import keep
 
-#: Capacities are numbers of tokens; the plan below has a size up to this on the driver.
-LARGEST_CAPACITY = 65_536
-
-
 class _Gaps:
     """Containers by room left: ranges of consecutive container numbers."""
 
@@ -61,8 +57,6 @@ def plan_containers(counts: dict[int, int], capacity: int) -> tuple[list[tuple[i
     where the least room is left that holds them, or into a new container.
     The work depends on the number of different sizes, not of items.
     """
-    if capacity > LARGEST_CAPACITY:
-        raise ValueError(f"a capacity over {LARGEST_CAPACITY}")
     left = {s: n for s, n in counts.items() if n > 0}
     if left and (min(left) < 1 or max(left) > capacity):
         raise ValueError("a size outside 1 .. capacity")
@@ -76,11 +70,24 @@ def plan_containers(counts: dict[int, int], capacity: int) -> tuple[list[tuple[i
         left[size] -= items
 
     large = sorted(s for s in left if 3 * s > capacity)
-    while large:
-        size = large[-1]
-        i = bisect.bisect_right(large, capacity - size) - 1
-        if i >= 0 and large[i] == size and left[size] < 2:
-            i -= 1
+    lower = list(range(len(large)))  # a way down to the next size that may have items left
+
+    def alive(i: int) -> int:
+        """The largest index up to ``i`` whose size has items left, or -1."""
+        way = []
+        while i >= 0 and not left[large[i]]:
+            way.append(i)
+            i = lower[i] if lower[i] < i else i - 1
+        for j in way:
+            lower[j] = i
+        return i
+
+    top = len(large) - 1
+    while (top := alive(top)) >= 0:
+        size = large[top]
+        i = alive(min(bisect.bisect_right(large, capacity - size) - 1, top))
+        if i == top and left[size] < 2:
+            i = alive(i - 1)
         if i < 0:
             n = left[size]
             put(size, n, containers)
@@ -95,7 +102,6 @@ def plan_containers(counts: dict[int, int], capacity: int) -> tuple[list[tuple[i
             put(mate, n, containers)
             gaps.add(capacity - size - mate, containers, n)
         containers += n
-        large = [s for s in large if left[s]]
     for size in sorted((s for s in left if left[s]), reverse=True):
         while left[size]:
             gap = gaps.best(size)
@@ -130,7 +136,8 @@ def pack(items: DataFrame, limits: DataFrame, item: str, size: str, seed: int =
     are packed each.  No items give no rows.
 
     Only the number of items of each size decides the plan, so the driver plans
-    on a histogram of at most ``capacity`` counters a limit and the rows look
+    on a histogram of at most ``capacity`` counters a limit (the plan of a
+    capacity of 131,072 with every size in use takes seconds) and the rows look
     their container up by their rank within their size.  Ranks come from hash
     bins: any size may be held by a third of all rows.
     """
@@ -161,7 +168,7 @@ def pack(items: DataFrame, limits: DataFrame, item: str, size: str, seed: int =
 
     keys = [*cells, "__bin"]
     within = Window.partitionBy(*keys).orderBy("__order", "__item")
-    ranked = kept.df.join(offsets.df.drop("bin_size"), keys).withColumn("__rank", F.col("offset") + F.row_number().over(within) - 1)
+    ranked = kept.df.join(offsets.df.drop("bin_size").hint("merge"), keys).withColumn("__rank", F.col("offset") + F.row_number().over(within) - 1)
 
     @F.pandas_udf(T.LongType())
     def container(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -193,8 +194,10 @@ def p7_classifier(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pieces(spark: SparkSession, sf: str, include_small: bool) -> DataFrame:
-    limit = _read(spark, sf, "size_limits").where("used_for = 'cut'").first()
-    return cut(_read(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", limit.capacity, limit.overlap, include_small)
+    """The pieces for every cut limit."""
+    limits = whole_list(_read(spark, sf, "size_limits").where("used_for = 'cut'").orderBy("limit_name"), "cut limits")
+    documents = _read(spark, sf, "documents").select("doc_id", "text")
+    return reduce(DataFrame.unionByName, [cut(documents, "doc_id", "text", r.capacity, r.overlap, include_small) for r in limits])
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -96,14 +96,14 @@ def quota_sample(rows: DataFrame, targets: DataFrame, axis: str, stratum: str, c
     repeated under one record id are separate records; make ids unique first.
     No rows give an empty sample and report.  Report columns: axis, stratum,
     category, target_pct, min_keep, n, sample_size, available, required, seats,
-    is_short; required is the larger of min_keep and target_pct percent of the
+    is_short, seats_short; required is the larger of min_keep and target_pct percent of the
     sample size, rounded up.
     """
     spark = rows.sparkSession
-    wanted = targets.select(F.col("axis"), F.col("category"), F.col("target_pct").cast("int"), F.col("min_keep").cast("int")).orderBy("axis", F.desc("target_pct"), "category").limit(TARGET_ROWS + 1).collect()
+    wanted = targets.select(F.col("axis"), F.col("category"), F.col("target_pct").cast("double"), F.col("min_keep").cast("int")).orderBy("axis", F.desc("target_pct"), "category").limit(TARGET_ROWS + 1).collect()
     if len(wanted) > TARGET_ROWS:
         raise ValueError(f"more than {TARGET_ROWS} target rows")
-    schema = T.StructType([T.StructField("__axis", T.StringType()), T.StructField("__category", T.StringType()), T.StructField("target_pct", T.IntegerType()), T.StructField("min_keep", T.IntegerType()), T.StructField("__place", T.IntegerType())])
+    schema = T.StructType([T.StructField("__axis", T.StringType()), T.StructField("__category", T.StringType()), T.StructField("target_pct", T.DoubleType()), T.StructField("min_keep", T.IntegerType()), T.StructField("__place", T.IntegerType())])
     plan = spark.createDataFrame([(*r, i) for i, r in enumerate(wanted)], schema)
 
     order = hash_order(seed, F.col(record).cast("string"))
@@ -116,7 +116,7 @@ def quota_sample(rows: DataFrame, targets: DataFrame, axis: str, stratum: str, c
     strata = counts.groupBy("__axis", "__stratum").agg(F.sum("available").alias("n"))
     grid = strata.join(F.broadcast(plan), "__axis").join(counts, cells, "left")
     grid = grid.withColumn("available", F.coalesce("available", F.lit(0))).withColumn("sample_size", F.expr(f"(n * {int(size_pct)}) div 100"))
-    grid = grid.withColumn("required", F.greatest(F.col("min_keep").cast("bigint"), F.expr("(sample_size * target_pct + 99) div 100")))
+    grid = grid.withColumn("required", F.greatest(F.col("min_keep").cast("bigint"), F.expr("cast(ceil(cast(sample_size as decimal(18, 0)) * cast(target_pct as decimal(9, 5)) * 0.01) as bigint)")))
 
     # a row per stratum, holding at most one entry per target
     entries = F.array_sort(F.collect_list(F.struct("__place", "__category", "target_pct", "min_keep", "available", "required")))
@@ -129,7 +129,7 @@ def quota_sample(rows: DataFrame, targets: DataFrame, axis: str, stratum: str, c
     ranked = _rank(kept.df, live, [*cells, "__bin"])
     chosen = ranked.where("rank <= seats").withColumn("priority", (F.col("rank") - 0.5) / F.col("target_pct")).withColumn("within_floor", F.col("rank") <= F.col("min_keep"))
     sample = chosen.drop(*cells, "__bin", "__order", "seats", "target_pct", "min_keep", "bin_size")
-    report = seats.df.select(F.col("__axis").alias("axis"), F.expr("if(__stratum = 'null', null, substring(__stratum, 2))").alias("stratum"), F.col("__category").alias("category"), "target_pct", "min_keep", "n", "sample_size", "available", "required", "seats", (F.col("available") < F.col("required")).alias("is_short"))
+    report = seats.df.select(F.col("__axis").alias("axis"), F.expr("if(__stratum = 'null', null, substring(__stratum, 2))").alias("stratum"), F.col("__category").alias("category"), "target_pct", "min_keep", "n", "sample_size", "available", "required", "seats", (F.col("available") < F.col("required")).alias("is_short"), (F.col("seats") < F.col("required")).alias("seats_short"))
     return QuotaSample(sample, report)
 
 
@@ -137,4 +137,4 @@ def _rank(rows: DataFrame, live: DataFrame, keys: list[str]) -> DataFrame:
     from pyspark.sql import Window
 
     within = Window.partitionBy(*keys).orderBy("__order")
-    return rows.join(live, keys).withColumn("rank", F.col("offset") + F.row_number().over(within)).drop("offset")
+    return rows.join(live.hint("merge"), keys).withColumn("rank", F.col("offset") + F.row_number().over(within)).drop("offset")

@@ -70,6 +70,15 @@ _ROOTS = f"""with recursive {_KEYS}, cc(key, root) using key (key) as (
 SQL: dict[str, str] = {
     "p2_components": f"""{_ROOTS} select key, root as root_key, case when key in (select key from rec) then 1 else 2 end as generation from cc""",
     "p2_found": f"""{_ROOTS} select root as root_key, key from cc where root <> key""",
+    "p1_report": f"""{_SAMPLE}, placed as (
+      select *, row_number() over (partition by axis, batch order by target_pct desc, category) as place from grid
+    ), numbered as (select axis, batch, category, place, target_pct, min_keep, sample_size, unnest(range(1, available + 1)) as r from placed
+    ), seated as (
+      select axis, batch, category, row_number() over (partition by axis, batch order by r > min_keep, (r - 0.5::double) / target_pct::double, place) <= sample_size as taken from numbered
+    ), seats as (select axis, batch, category, count(*) filter (where taken) as seats from seated group by all)
+    select g.axis, g.batch, g.category, g.target_pct::double as target_pct, g.min_keep, g.n, g.sample_size, g.available, g.required, coalesce(s.seats, 0) as seats,
+      g.available < g.required as is_short, coalesce(s.seats, 0) < g.required as seats_short
+    from grid g left join seats s on s.axis = g.axis and s.batch is not distinct from g.batch and s.category = g.category""",
     "p1_found": f"{_SAMPLE} select batch, axis, category from grid where available < required",
     "p4_found": f"{_RANKED} select s.pool_id from scored s join cutoffs c on c.source_id is not distinct from s.source_id and c.edit_type = s.edit_type where s.total_score >= c.cutoff",
     "p4_cutoffs": f"""{_RANKED} select c.source_id, c.edit_type, c.n, c.target_kept, c.cutoff, count(s.pool_id) as kept

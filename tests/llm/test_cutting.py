@@ -53,6 +53,20 @@ def test_cuts_at_block_ends_where_possible():
     assert {p["starts_at"] for p in cut_text("w " * 500, 100, 10)} == {"start", "token"}
 
 
+def test_a_heading_is_no_piece_of_its_own():
+    long = " ".join(["w w w w w w w."] * 120)
+    pieces = cut_text("Heading\n\n" + long, 100, 10)
+    assert min(p["n_tokens"] for p in pieces) > 30 and pieces[0]["oversized_blocks"] == [1]
+    # a block that can stay whole does, however uneven the parts
+    small = cut_text("Heading\n\n" + " ".join(["w"] * 90), 90, 0)
+    assert [p["n_tokens"] for p in small] == [1, 90] and small[1]["starts_at"] == "block"
+
+
+def test_any_line_or_sentence_end_before_a_bare_cut():
+    text = "a. " + " ".join(["w"] * 150)
+    assert cut_text(text, 100, 0)[1]["starts_at"] == "sentence"
+
+
 def test_very_long_text():
     pieces = cut_text("word " * 200_000, 384, 48)
     assert max(p["n_tokens"] for p in pieces) <= 384 and len(pieces) < 1300

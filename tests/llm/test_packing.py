@@ -63,3 +63,11 @@ def test_nothing_to_pack(spark):
     assert pack(spark.createDataFrame([], "id long, n int"), limits, "id", "n").count() == 0
     out = pack(spark.createDataFrame([(1, 0), (2, None)], "id long, n int"), limits, "id", "n").collect()
     assert [(r.container, r.piece_size) for r in out] == [(0, 0), (0, 0)]
+
+
+def test_a_large_capacity_with_every_size():
+    capacity = 131_072
+    steps, n = plan_containers({s: 1 + s % 3 for s in range(1, capacity + 1)}, capacity)
+    total = sum(s * (1 + s % 3) for s in range(1, capacity + 1))
+    assert sum(k for _, _, k, _, _ in steps) == sum(1 + s % 3 for s in range(1, capacity + 1))
+    assert n <= 1.01 * max(-(-total // capacity), sum(1 + s % 3 for s in range(capacity // 2 + 1, capacity + 1)))
