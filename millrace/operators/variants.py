@@ -13,6 +13,8 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -119,7 +121,8 @@ def _whole_object(text: str | None) -> dict | None:
     if text is None:
         return None
     try:
-        value = json.loads(text, parse_constant=refuse)
+        # a whole number too long for the parser stays text
+        value = json.loads(text, parse_constant=refuse, parse_int=lambda t: int(t) if len(t) < 4000 else t)
     except (ValueError, RecursionError):
         return None
     return value if isinstance(value, dict) else None
@@ -156,8 +159,9 @@ def _named(node: Node | None, prefix: str = "") -> Iterator[tuple[str, Node]]:
     """The named entries of a score table, written as an object or as a list of pairs."""
     if node is None:
         return
-    if node.state == PAIRS:
-        entries = [(n.parts["name"].value, n.parts["value"]) for n in node.parts if n.state == PAIR]
+    if isinstance(node.value, list):  # every pair counts, whatever else is in the list
+        pairs = [n.parts for n in node.parts if isinstance(n.value, dict) and n.parts.keys() >= {"name", "value"}]
+        entries = [(p["name"].value, p["value"]) for p in pairs if p["name"].state == TEXT]
     elif isinstance(node.value, dict):
         entries = list(node.parts.items())
     else:
@@ -183,12 +187,13 @@ def flatten_record(text: str | None, layout: Layout) -> list[Row]:
     root = run_automaton(value, layout)
     while root.state == ENVELOPE:
         root = root.parts[layout.envelope]
-    out: list[Row] = [("record", -1, "", root.state, None, None, _leaves(root))]
     top = root.parts if isinstance(root.parts, dict) else {}
-    evaluation = next((top[e] for e in layout.evaluations if e in top and top[e].state not in ABSENT), None)
+    chosen = next((e for e in layout.evaluations if e in top and top[e].state not in ABSENT), None)
+    evaluation = top.get(chosen)
+    out: list[Row] = [("record", -1, "", root.state, None, None, _fields(root, (chosen, layout.proposal, layout.repeated)))]
     if evaluation is not None and isinstance(evaluation.parts, dict):
         name = layout.evaluations[0]
-        out.append((name, -1, "", evaluation.state, None, None, _leaves(evaluation)))
+        out.append((name, -1, "", evaluation.state, None, None, _fields(evaluation, layout.scores)))
         for table in layout.scores:
             seen = set()
             for item, n in _named(evaluation.parts.get(table)):
@@ -197,21 +202,23 @@ def flatten_record(text: str | None, layout: Layout) -> list[Row]:
                     out.append((f"{name}.{table}", -1, item, n.state, _number(n), _text(n), None))
     proposal = top.get(layout.proposal)
     if proposal is not None and isinstance(proposal.parts, dict):
-        out.append((layout.proposal, -1, "", proposal.state, None, None, _leaves(proposal)))
+        out.append((layout.proposal, -1, "", proposal.state, None, None, _fields(proposal, (layout.edit,))))
         out += _edit(proposal.parts.get(layout.edit), f"{layout.proposal}.{layout.edit}", -1, layout)
     for i, n in enumerate(_items(top.get(layout.repeated))):
         if n.state in (NULL, BLANK):
             continue
-        out.append((layout.repeated, -1, str(i), n.state, None, None, _leaves(n)))
+        out.append((layout.repeated, -1, str(i), n.state, None, None, _fields(n, (layout.edit,)) if isinstance(n.value, dict) else [("value", _text(n))]))
         if isinstance(n.parts, dict):
             out += _edit(n.parts.get(layout.edit), f"{layout.repeated}.{layout.edit}", i, layout)
     return out
 
 
-def _leaves(node: Node) -> list[tuple[str, str | None]]:
+def _fields(node: Node, tabled: Iterable[str]) -> list[tuple[str, str | None]]:
+    """The fields of an object: leaves as text, and whatever has no table of its own as JSON text."""
     if not isinstance(node.parts, dict):
         return []
-    return [(k, _text(n)) for k, n in node.parts.items() if n.state in LEAVES]
+    own = set(tabled)
+    return [(k, _text(n)) for k, n in node.parts.items() if n.state in LEAVES or k not in own or not n.parts and n.state not in ABSENT]
 
 
 def _edit(node: Node | None, path: str, parent: int, layout: Layout) -> list[Row]:
@@ -221,7 +228,7 @@ def _edit(node: Node | None, path: str, parent: int, layout: Layout) -> list[Row
         node, variant = (run_automaton(inner, layout), "text:") if inner is not None else (None, "")
     if node is None or node.state == NO_FIELDS or not isinstance(node.value, dict):
         return []
-    rows: list[Row] = [(path, parent, "", variant + node.state, None, None, _leaves(node))]
+    rows: list[Row] = [(path, parent, "", variant + node.state, None, None, _fields(node, layout.edit_lists))]
     for name in layout.edit_lists:
         for i, n in enumerate(_items(node.parts.get(name))):
             if n.state not in (NULL, BLANK):
@@ -250,8 +257,10 @@ def child_rows(records: DataFrame, key: str, payload: str, layout: Layout = Layo
     an object or followed by anything else give no rows; other envelopes are
     opened.  Null and blank list entries give none but keep their position.
     ``variant`` is the automaton's state.  Rows are parsed where they lie: no
-    shuffle, and a payload of any size or depth is taken whole.  Repeated keys
-    are parsed each.
+    shuffle, and a payload of any size is taken whole; one nested deeper than the
+    JSON parser goes (some thousands of levels) counts as broken.  ``fields``
+    has every field of an object that gives no rows of its own, nested ones as
+    JSON text, so that nothing is lost.  Repeated keys are parsed each.
     """
     slim = records.select(F.col(key).alias("__key"), F.col(payload).alias("__payload")).where("__payload is not null")
     schema = T.StructType([T.StructField("__key", slim.schema["__key"].dataType), *CHILD])
@@ -293,27 +302,40 @@ class VariantTables:
 RECORD_FIELDS = {"group_id": "string", "candidate_index": "int", "candidate_role": "string", "record_key": "string", "caption": "string", "status": "string"}
 EVALUATION_FIELDS = {"global_score": "double", "local_score": "double", "total_score": "double", "accepted": "boolean"}
 DISTRACTOR_FIELDS = {"operation_id": "string", "family": "string", "instruction": "string"}
+PROPOSAL_FIELDS = {
+    "round_index": "int", "proposal_index": "int", "operation_id": "string", "family": "string", "difficulty": "int", "difficulty_level": "int", "instruction": "string", "scope": "string",
+    "metric": "string", "direction": "string", "target": "double", "verifier": "string", "inverse_operation_id": "string",
+}
 EDIT_FIELDS = {
     name: "string"
     for name in "edit_type instruction target replacement source_object target_object source_attribute target_attribute source_material target_material source_style target_style source_location target_location target_region difficulty".split()
 }
 
+#: Which states of a structured edit go to which table; together they are all states that it can have.
+ROUTES = {"flat_edits": f"= '{FLAT}'", "nested_edits": f"not in ('{FLAT}') and not startswith(variant, 'text:')", "text_edits": "like 'text:%'"}
+
 
 def variant_tables(records: DataFrame, key: str, payload: str, layout: Layout = Layout()) -> VariantTables:
     """The typed tables of all records; the payloads are parsed once.
 
-    ``records``, ``evaluations``, ``distractors`` and ``edits`` have their leaf
-    fields as typed columns (null where absent or not of the type) and the rest
-    in ``more``; ``number_scores`` and ``text_scores`` split the named entries
-    by whether they read as a number; ``edit_entries`` holds the edits' lists.
-    Every table has the record's key, child, parent_pos, item and variant.
+    The router sends a row to the subtype table that its state belongs to
+    (``ROUTES``): a structured edit of leaves only, one with nested fields and
+    one that came as JSON text have tables of their own, scores are split by
+    whether they read as a number, and list entries by whether they are leaves.
+    ``edits`` is the supertype of the three: their common keys and variant.
+    ``records``, ``evaluations``, ``proposals``, ``distractors`` and the edits
+    have their leaf fields as typed columns (null where absent or not of the
+    type), and all others in ``more``, as JSON text.  Every table has the
+    record's key, child, parent_pos, item and variant.
     """
     kept = keep(child_rows(records, key, payload, layout), "variant-rows")
     shared = [F.col(key), F.col("child"), F.col("parent_pos"), F.col("item"), F.col("variant")]
 
     def typed(where: str, columns: dict[str, str]) -> DataFrame:
         values = [F.col("fields")[c].try_cast(kind).alias(c) for c, kind in columns.items()]
-        more = F.map_filter("fields", lambda k, _: ~k.isin(list(columns)))
+        # a value that isn't of its column's type is kept as it is
+        unread = F.map_filter("fields", lambda k, v: ~k.isin(list(columns)) | reduce(or_, [(k == c) & v.isNotNull() & v.try_cast(kind).isNull() for c, kind in columns.items()]))
+        more = F.when(F.size(unread) > 0, F.to_json(unread))
         return kept.df.where(where).select(*shared, *values, more.alias("more"))
 
     scores = " or ".join(f"child = '{layout.evaluations[0]}.{s}'" for s in layout.scores)
@@ -322,10 +344,13 @@ def variant_tables(records: DataFrame, key: str, payload: str, layout: Layout =
     tables = {
         "records": typed("child = 'record'", RECORD_FIELDS),
         "evaluations": typed(f"child = '{layout.evaluations[0]}'", EVALUATION_FIELDS),
+        "proposals": typed(f"child = '{layout.proposal}'", PROPOSAL_FIELDS),
         "distractors": typed(f"child = '{layout.repeated}'", DISTRACTOR_FIELDS),
-        "edits": typed(edits, EDIT_FIELDS),
+        "edits": kept.df.where(edits).select(*shared),
         "number_scores": kept.df.where(f"({scores}) and number is not null").select(*shared, "number"),
         "text_scores": kept.df.where(f"({scores}) and number is null").select(*shared, "text"),
         "edit_entries": kept.df.where(entries).select(*shared, "text"),
     }
+    for table, states in ROUTES.items():
+        tables[table] = typed(f"{edits} and variant {states}", EDIT_FIELDS)
     return VariantTables(kept, tables)

@@ -23,19 +23,35 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_records(spark: SparkSession, sf: str) -> DataFrame:
-    return _tables(spark, sf).tables["records"].drop("more")
+    return _tables(spark, sf).tables["records"]
 
 
 def p3_evaluations(spark: SparkSession, sf: str) -> DataFrame:
-    return _tables(spark, sf).tables["evaluations"].drop("more")
+    return _tables(spark, sf).tables["evaluations"]
+
+
+def p3_proposals(spark: SparkSession, sf: str) -> DataFrame:
+    return _tables(spark, sf).tables["proposals"]
 
 
 def p3_edits(spark: SparkSession, sf: str) -> DataFrame:
-    return _tables(spark, sf).tables["edits"].drop("more")
+    return _tables(spark, sf).tables["edits"]
+
+
+def p3_flat_edits(spark: SparkSession, sf: str) -> DataFrame:
+    return _tables(spark, sf).tables["flat_edits"]
+
+
+def p3_nested_edits(spark: SparkSession, sf: str) -> DataFrame:
+    return _tables(spark, sf).tables["nested_edits"]
+
+
+def p3_text_edits(spark: SparkSession, sf: str) -> DataFrame:
+    return _tables(spark, sf).tables["text_edits"]
 
 
 def p3_distractors(spark: SparkSession, sf: str) -> DataFrame:
-    return _tables(spark, sf).tables["distractors"].drop("more")
+    return _tables(spark, sf).tables["distractors"]
 
 
 def p3_number_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,5 +66,5 @@ def p3_edit_entries(spark: SparkSession, sf: str) -> DataFrame:
     return _tables(spark, sf).tables["edit_entries"]
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_records, p3_evaluations, p3_edits, p3_distractors, p3_number_scores, p3_text_scores, p3_edit_entries)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_records, p3_evaluations, p3_proposals, p3_edits, p3_flat_edits, p3_nested_edits, p3_text_edits, p3_distractors, p3_number_scores, p3_text_scores, p3_edit_entries)}
 SQL: dict[str, str] = {}

@@ -122,3 +122,48 @@ def test_whole_table(spark):
         want |= {(r.raw_id, *x) for x in brute(r.payload)}
     got = [tuple(r) for r in p3_found(spark, "/root/testdata/sf0.001").collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def leaves(value):
+    """Every value in a tree that isn't null or blank, numbers and numbers in text alike."""
+    if isinstance(value, dict):
+        return set().union(*map(leaves, value.values())) if value else set()
+    if isinstance(value, list):
+        return set().union(*map(leaves, value)) if value else set()
+    if isinstance(value, str) and value[:1] in "{[":
+        try:
+            return leaves(json.loads(value))
+        except ValueError:
+            pass
+    if value is None or isinstance(value, str) and not value.strip():
+        return set()
+    try:
+        return {float(value)}
+    except ValueError:
+        return {str(value).lower()}
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001/raw_lines.parquet"), reason="no test tables")
+def test_nothing_of_a_whole_table_is_lost(spark):
+    """Every value of every readable payload is in one of the tables, and edits are routed to exactly one."""
+    rows = [(r.raw_id, r.payload) for r in spark.read.parquet("/root/testdata/sf0.001/raw_lines.parquet").where("raw_id is not null").dropDuplicates(["raw_id"]).collect()]
+    tables = variant_tables(spark.createDataFrame(rows, "raw_id long, payload string"), "raw_id", "payload").tables
+    got: dict[int, set] = {}
+    keys = ("raw_id", "child", "parent_pos", "item", "variant")
+    for name, table in tables.items():
+        for r in table.collect():
+            got.setdefault(r.raw_id, set()).update(*(leaves(v) for k, v in r.asDict().items() if k not in ("raw_id", "child", "parent_pos", "variant")))  # the name of a pair is the item
+    for raw_id, payload in rows:
+        if flatten_record(payload, Layout()):
+            value = json.loads(payload)
+            while run_automaton(value, Layout()).state == "object.envelope":
+                value = value["data"]
+            assert leaves(value) <= got[raw_id], (raw_id, leaves(value) - got[raw_id])
+    at = lambda name: sorted(tuple(r[k] for k in keys) for r in tables[name].select(*keys).collect())
+    assert at("edits") == sorted(at("flat_edits") + at("nested_edits") + at("text_edits")) and at("text_edits") and at("nested_edits")
+
+
+def test_lists_with_some_good_pairs_and_long_numbers():
+    assert found('{"evaluator": {"signals": [{"name": "a", "value": 1, "unit": "x"}, {"name": " ", "value": 2}, {"name": 3, "value": 2}, {"name": "b"}, 7, {"name": "c", "value": "2"}]}}') == [("evaluator.signals", -1, "a"), ("evaluator.signals", -1, "c")]
+    long = "1" * 6000
+    assert flatten_record('{"evaluator": {"signals": {"n": ' + long + "}}}", Layout())[-1][5] == long
