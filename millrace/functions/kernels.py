@@ -148,3 +148,26 @@ def conflict_scale(g: Column, h: Column) -> Column:
     """By how much to scale a step against another that it agrees with; 1 where they don't."""
     product = dot(g, h)
     return F.when(product > 0, clamp(dot(g, g) / (product + 1e-12))).otherwise(F.lit(1.0))
+
+
+def region_measures(change: Column, mask: Column, above: float, most: float = 60.0) -> dict[str, Column]:
+    """Fourteen measures of an array of absolute changes inside and outside a mask.
+
+    A change above ``above`` counts as changed.  An empty inside has change 0;
+    an empty outside is measured on the whole.  Nothing changed is precise (1).
+    """
+    nothing = F.lit(0.0)
+    inside, rest = within(change, mask), within(change, mask, False)
+    outside = F.when(F.size(rest) > 0, rest).otherwise(change)
+    n = F.size(change)
+    count = lambda a: F.size(F.filter(a, lambda x: x > above))
+    error = lambda a: F.coalesce(mean(F.transform(a, lambda x: x * x)), nothing)
+    loudness = lambda a: F.when(error(a) <= 1e-12, F.lit(most)).otherwise(F.least(F.lit(most), -10.0 * F.log10(error(a))))
+    hit, missed = count(inside), count(rest)
+    return {
+        "target_area": F.try_divide(F.size(inside), n), "outside_area": F.try_divide(F.size(rest), n), "changed": F.try_divide(count(change), n),
+        "target_change": F.coalesce(mean(inside), nothing), "outside_change": F.coalesce(mean(outside), nothing),
+        "target_changed": F.coalesce(F.try_divide(hit, F.size(inside)), nothing), "outside_changed": F.coalesce(F.try_divide(count(outside), F.size(outside)), nothing),
+        "target_pixels": F.try_divide(hit, n), "outside_pixels": F.try_divide(missed, n), "precision": F.coalesce(F.try_divide(hit, hit + missed), F.lit(1.0)),
+        "target_mse": error(inside), "outside_mse": error(outside), "target_psnr": loudness(inside), "outside_psnr": loudness(outside),
+    }

@@ -63,10 +63,6 @@ SQL["img_9_dilation"] = """with p as (select vec_id, unnest(range(0, 64)) as i,
 columns_query(R, "img_10_diff_mask", "embeddings", {"n": (lambda: F.size(F.filter(K.change_mask(V(), BACK(), 0.1), lambda x: x)), f"len(list_filter({_MASK}, lambda x: x))::int")})
 _SQ = f"list_avg(list_transform(list_zip({_V}, {_B}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 _PSNR = f"case when {_SQ} <= 0 then 60.0 else least(60.0, 10 * log10(1.0 / {_SQ})) end"
-add(
-    "img_11_region", inside=(lambda: K.mean(K.within(K.difference(V(), BACK()), BOX())), _mean(_INSIDE.format(d=_DIFF))), outside=(lambda: K.mean(K.within(K.difference(V(), BACK()), BOX(), False)), _mean(_OUTSIDE.format(d=_DIFF))),
-    worst=(lambda: F.array_max(K.within(K.difference(V(), BACK()), BOX(), False)), f"list_max({_OUTSIDE.format(d=_DIFF)})"), psnr=(lambda: K.signal_to_noise(V(), BACK(), 1.0), _PSNR),
-)
 _IND = f"list_filter({_DIFF}, lambda x: x > 0.1)"
 _OUTD = f"list_filter({_DIFF}, lambda x: not x > 0.1)"
 add("img_12_diff_region", inside=(lambda: K.mean(K.within(K.difference(V(), BACK()), K.change_mask(V(), BACK(), 0.1))), _mean(_IND)), outside=(lambda: K.mean(K.within(K.difference(V(), BACK()), K.change_mask(V(), BACK(), 0.1), False)), _mean(_OUTD)))

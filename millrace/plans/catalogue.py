@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.plans import aggregates, arrays, connectors, extras, gates, joins, nested, projections, scalars, selection, sets, stream, windows
+from millrace.plans import aggregates, arrays, connectors, extras, files, gates, joins, nested, projections, rules, scalars, selection, sets, stream, windows
 
-MODULES = [nested, connectors, projections, gates, joins, aggregates, windows, selection, sets, scalars, arrays, stream, extras]
+MODULES = [nested, connectors, projections, gates, joins, aggregates, windows, selection, sets, scalars, rules, arrays, stream, extras, files]
 FLAGSHIP = "agg_4_threshold_acceptance"
 
 

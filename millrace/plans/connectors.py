@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.plans.base import POOL, REC, Registry, pool, read, records
+from millrace.plans.base import POOL, REC, Registry, pool, read, records, whole_list
 from millrace.scratch import new_path
 from millrace.sources import readers, writers
 
@@ -40,7 +41,7 @@ def csv(spark: SparkSession, sf: str) -> DataFrame:
 @R.query("src_1_json_shapes", "select split_name, target_pct, n as shape from split_targets, range(0, 3) t(n)")
 def json_shapes(spark: SparkSession, sf: str) -> DataFrame:
     """A list, a wrapped list and a map of records give the same rows."""
-    rows = [r.asDict() for r in read(spark, sf, "split_targets").limit(1000).collect()]
+    rows = [r.asDict() for r in whole_list(read(spark, sf, "split_targets"), "splits")]
     out = None
     for i, value in enumerate((rows, {"records": rows}, {r["split_name"]: r for r in rows})):
         path = new_path(spark, "shape") + ".json"
@@ -145,18 +146,21 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
 def sections(spark: SparkSession, sf: str) -> DataFrame:
     """A text report with section headings, written and read back."""
     path = new_path(spark, "report")
-    rows = read(spark, sf, "sample_targets").orderBy("axis", "category").limit(1000).collect()
+    rows = whole_list(read(spark, sf, "sample_targets").orderBy("axis", "category"), "targets")
     text = "\n".join(line for a in sorted({r.axis for r in rows}) for line in [f"== {a} ==", "", *[f"{r.category}: {r.target_pct}" for r in rows if r.axis == a], "total"])
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
     return readers.read_sections(spark, path, r"^== (.*) ==$", r"^(\w+): ([\d.]+)$").drop("file")
 
 
-@R.query("src_31_latest_file")
+@R.query("src_31_latest_file", "select split_name from split_targets where split_name = 'test'")
 def latest_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the files in a folder the one written last is read."""
     path = new_path(spark, "files")
-    for i in range(2):
-        spark.createDataFrame([(str(i),)], "value string").coalesce(1).write.mode("append").text(path)
-    return spark.createDataFrame([(readers.latest_file(spark, f"{path}/*.txt") is not None,)], "found boolean")
+    rows = read(spark, sf, "split_targets").select("split_name")
+    for name in ("train", "test"):
+        rows.where(C("split_name") == name).coalesce(1).write.mode("append").json(path)
+        time.sleep(0.05)  # files are told apart by the time of their last change
+    return spark.read.schema("split_name string").json(readers.latest_file(spark, f"{path}/*.json"))
 
 
 @R.query("src_32_model_row", "select * from split_targets where split_name = 'test'")

@@ -35,12 +35,18 @@ def fallback_split(spark: SparkSession, sf: str) -> DataFrame:
 @R.query("src_10_globs", "select count(*) as n from split_targets")
 def globs(spark: SparkSession, sf: str) -> DataFrame:
     """A path that two patterns give is read once."""
-    return spark.read.parquet(*readers.expand_paths([f"{sf}/split_targets.parquet", f"{sf}/split_target?.parquet"])).agg(F.count("*").alias("n"))
+    return spark.read.parquet(*readers.expand_paths(spark, [f"{sf}/split_targets.parquet", f"{sf}/split_target?.parquet"])).agg(F.count("*").alias("n"))
 
 
-@R.query("src_33_new_files")
+@R.query("src_33_new_files", "select split_name from split_targets where split_name <> 'train'")
 def new_files(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(len(readers.new_files(set(), f"{sf}/*.parquet")) > 0,)], "any boolean")
+    """Result files that a run added: those of an earlier listing are left out, the new ones are read."""
+    path = new_path(spark, "results")
+    rows = read(spark, sf, "split_targets").select("split_name")
+    rows.where("split_name = 'train'").write.json(path)
+    before = set(readers.matching_paths(spark, f"{path}/*.json"))
+    rows.where("split_name != 'train'").write.mode("append").json(path)
+    return spark.read.schema("split_name string").json(readers.new_files(spark, before, f"{path}/*.json"))
 
 
 @R.query("snk_12_with_replay", f"with {CAND}, d as (select distinct base from cand where accepted and base is not null order by base limit 40), p as (select base, row_number() over (order by base) - 1 as pos, count(*) over () as n from d) select 'sft' as kind, count(*) as n from cand where accepted union all select 'replay', count(*) from p, range(0, 40) g(turn) where pos + g.turn * n < 40")

@@ -13,16 +13,16 @@ R = Registry()
 QUERIES, SQL = R.QUERIES, R.SQL
 
 C = F.col
-VLM_GATES = {"quality_score": 0.45, "natural_image_score": 0.4, "editable_content_score": 0.35, "object_region_clarity": 0.3, "preservation_potential": 0.4}
+VLM_GATES = {"quality_score": 0.45, "natural_image_score": 0.4, "editable_content_score": 0.35, "object_region_clarity": 0.3, "removable_object_score": 0.2, "small_object_separability": 0.2, "preservation_potential": 0.4}
 VLM_CEILINGS = {"clutter_penalty": 0.8, "text_watermark_penalty": 0.7}
 
 
 def record_tests():
     low = [(f"low_{n}", finite(C(f"vlm.{n}")) < v) for n, v in VLM_GATES.items()]
-    return low + [(f"high_{n}", finite(C(f"vlm.{n}")) > v) for n, v in VLM_CEILINGS.items()] + [("low_score", finite(C("score")) < 0.5)]
+    return low + [(f"high_{n}", finite(C(f"vlm.{n}")) > v) for n, v in VLM_CEILINGS.items()] + [("low_score", finite(C("score")) < 0.5), ("low_technical_quality", finite(C("stats_scores.technical_quality_score")) < 0.35), ("insufficient_edit_family_coverage", F.size(F.coalesce("edit_families", F.array().cast("array<string>"))) < 1)]
 
 
-_TESTS = [f"case when isfinite(vlm.{n}) and vlm.{n} < {v} then 'low_{n}' end" for n, v in VLM_GATES.items()] + [f"case when isfinite(vlm.{n}) and vlm.{n} > {v} then 'high_{n}' end" for n, v in VLM_CEILINGS.items()] + ["case when isfinite(score) and score < 0.5 then 'low_score' end"]
+_TESTS = [f"case when isfinite(vlm.{n}) and vlm.{n} < {v} then 'low_{n}' end" for n, v in VLM_GATES.items()] + [f"case when isfinite(vlm.{n}) and vlm.{n} > {v} then 'high_{n}' end" for n, v in VLM_CEILINGS.items()] + ["case when isfinite(score) and score < 0.5 then 'low_score' end", "case when isfinite(stats_scores.technical_quality_score) and stats_scores.technical_quality_score < 0.35 then 'low_technical_quality' end", "case when len(coalesce(edit_families, [])) < 1 then 'insufficient_edit_family_coverage' end"]
 _ALL = f"list_sort(list_distinct(list_filter(list_concat(coalesce(reject_reasons, []), [{', '.join(_TESTS)}]), lambda x: x is not null)))"
 columns_query(R, "fil_1_reasons", "rec", {"reasons": (lambda: F.array_join(sorted_reasons(C("reject_reasons"), record_tests()), "|"), f"coalesce(array_to_string({_ALL}, '|'), '')")})
 columns_query(R, "fil_2_accepted", "rec", {"accepted": (lambda: F.size(sorted_reasons(C("reject_reasons"), record_tests())) == 0, f"len({_ALL}) = 0")})

@@ -10,7 +10,7 @@ from millrace.functions.text import base_key
 from millrace.operators.joins import best_against_rest, best_rows, fallback_join, hardest_pairs, sign_neighbours
 from millrace.operators.stats import auc, label_pair_accuracy
 from millrace.plans.aggregates import feedback_of
-from millrace.plans.base import CAND, POOL, REC, Registry, candidates, pool, r6, read, records
+from millrace.plans.base import CAND, POOL, REC, Registry, candidates, pool, r6, read, records, whole_list
 
 R = Registry()
 QUERIES, SQL = R.QUERIES, R.SQL
@@ -50,7 +50,7 @@ def feedback_join(spark: SparkSession, sf: str) -> DataFrame:
 @R.query("join_4_source_by_type", f"with {REC} select key, t.edit_type, round(coalesce(case when isfinite(score) then score end, 0.0) * t.keep_pct / 100, 6) as prior from rec, keep_targets t")
 def source_by_type(spark: SparkSession, sf: str) -> DataFrame:
     """Each source with every edit type: an expansion by a fixed list, not a join of two tables."""
-    types = read(spark, sf, "keep_targets").orderBy("edit_type").limit(100).collect()
+    types = whole_list(read(spark, sf, "keep_targets").orderBy("edit_type"), "edit types")
     each = F.explode(F.array(*[F.struct(F.lit(t.edit_type).alias("edit_type"), F.lit(t.keep_pct).alias("pct")) for t in types]))
     return records(spark, sf).select("key", F.coalesce(finite(F.col("score")), F.lit(0.0)).alias("s"), each.alias("t")).select("key", "t.edit_type", r6(F.col("s") * F.col("t.pct") / 100).alias("prior"))
 

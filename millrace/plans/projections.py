@@ -30,7 +30,11 @@ def add(name: str, view: str, **columns) -> None:
 _FS = lambda x: f"case when isfinite({x}) then {x} end"
 log("prj_1_path_text", "coalesce(proposal.structured_edit.edit_type, 'unknown') as edit_type", edit_type=lambda: F.coalesce(C("proposal.structured_edit.edit_type").cast("string"), F.lit("unknown")))
 log("prj_2_path", "proposal.structured_edit.target_region as region, proposal.target as target", region=lambda: C("proposal.structured_edit.target_region"), target=lambda: C("proposal.target"))
-add("prj_3_containers", "rec", x=(lambda: F.coalesce(C("vlm.removable_object_score"), C("vlm.object_region_clarity"), C("stats_scores.structure_score")), "coalesce(vlm.removable_object_score, vlm.object_region_clarity, stats_scores.structure_score)"))
+_NAMES = ("technical_quality_score", "structure_score", "object_region_clarity", "score")
+#: Where each name may stand, in order: the record itself, then its containers.
+_HELD = {"technical_quality_score": ("stats_scores",), "structure_score": ("stats_scores",), "object_region_clarity": ("vlm",), "score": ("",)}
+_WHERE = [f"{c}.{n}" if c else n for n in _NAMES for c in _HELD[n]]
+add("prj_3_containers", "rec", x=(lambda: F.coalesce(*[F.when(~F.isnan(C(w)), C(w)) for w in _WHERE]), "coalesce(" + ", ".join(f"case when not isnan({w}) then {w} end" for w in _WHERE) + ")"))
 add("prj_4_first_hit", "rec", x=(lambda: X.finite_or(F.coalesce(C("vlm.removable_object_score"), C("vlm.object_region_clarity")), 0.5), "coalesce(case when isfinite(coalesce(vlm.removable_object_score, vlm.object_region_clarity)) then coalesce(vlm.removable_object_score, vlm.object_region_clarity) end, 0.5)"))
 _CS, _SG = "evaluator.component_scores", "evaluator.signals"
 _NF = ", ".join(_FS(f"{c}['{n}']") for n in ("cepr_preservation", "rubric_preservation") for c in (_CS, _SG))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import exprs as X
 from millrace.functions import instructions as I
-from millrace.plans.base import CAND, Registry, candidates, columns_query, r6, read
+from millrace.plans.base import CAND, Registry, candidates, columns_query, r6, read, whole_list
 
 R = Registry()
 QUERIES, SQL = R.QUERIES, R.SQL
@@ -108,19 +108,17 @@ def log_query(name: str, sql: str, **columns) -> None:
     """Expressions over the instructions of the log, one row per log entry."""
 
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        return read(spark, sf, "candidate_log").select("log_seq", *[make().alias(c) for c, make in columns.items()]).distinct()
+        return read(spark, sf, "candidate_log").select("log_seq", *[make().alias(c) for c, make in columns.items()])
 
     R.QUERIES[name] = query
-    R.SQL[name] = f"select distinct log_seq, {sql} from candidate_log"
+    R.SQL[name] = f"select log_seq, {sql} from candidate_log"
 
 
 INS = lambda: C("proposal.instruction")
 _I = "proposal.instruction"
 _CLS = "case " + " ".join(f"when regexp_matches(lower({_I}), '{sign}') then '{name}'" for name, sign in I.CLASS_SIGNS) + " else 'other' end"
-log_query("sca_30_classify", f"{_CLS} as class", **{"class": lambda: I.instruction_class(INS())})
 _PAT = [r"(?i)\bwith (?:an? |the )?([\w -]+)", r"(?i)\binto (?:an? |the )?([\w -]+)", r"(?i)\bas (?:an? |the )?([\w -]+)"]
 log_query("sca_31_replacement", "coalesce(" + ", ".join(f"nullif(regexp_extract({_I}, '{p}', 1), '')" for p in _PAT) + ") as target", target=lambda: I.replacement_target(INS()))
-log_query("sca_32_tokens", f"len(list_intersect({_W.format(_I)}, ['amber', 'coral', 'charcoal', 'teal'])) > 0 as has_color, len({_W.format(_I)})::int as n", has_color=lambda: F.arrays_overlap(I.words(INS()), F.array(*[F.lit(w) for w in ("amber", "coral", "charcoal", "teal")])), n=lambda: F.size(I.words(INS())))
 log_query("sca_33_eight_classes", f"case when {_CLS} <> 'other' then {_CLS} when proposal.family = 'background' then 'background' else 'global' end as class", **{"class": lambda: F.when(I.instruction_class(INS()) != "other", I.instruction_class(INS())).when(C("proposal.family") == "background", "background").otherwise("global")})
 log_query("sca_34_prompt", f"'Edit the image: ' || coalesce({_I}, '') || case when proposal.scope = 'local' then ' Keep everything else.' else '' end as prompt", prompt=lambda: F.concat(F.lit("Edit the image: "), F.coalesce(INS(), F.lit("")), F.when(C("proposal.scope") == "local", " Keep everything else.").otherwise("")))
 log_query("sca_35_contract_prompt", f"coalesce({_I}, '') || coalesce(' Must show: ' || array_to_string(proposal.structured_edit.required_after, '; '), '') as prompt", prompt=lambda: F.concat(F.coalesce(INS(), F.lit("")), F.coalesce(F.concat(F.lit(" Must show: "), F.array_join("proposal.structured_edit.required_after", "; ")), F.lit(""))))
@@ -129,11 +127,10 @@ log_query("sca_35_contract_prompt", f"coalesce({_I}, '') || coalesce(' Must show
 @R.query("sca_36_alias", "select p.pool_id, p.scored_at, coalesce(n.edit_type, 'other') as edit_type from pool_candidates p left join edit_type_names n on n.alias = lower(trim(p.edit_type))")
 def alias(spark: SparkSession, sf: str) -> DataFrame:
     """Aliases from a table of 44 rows become a literal map: no join is left in the plan."""
-    names = {r.alias: r.edit_type for r in read(spark, sf, "edit_type_names").limit(1000).collect()}
+    names = {r.alias: r.edit_type for r in whole_list(read(spark, sf, "edit_type_names"), "aliases")}
     return read(spark, sf, "pool_candidates").select("pool_id", "scored_at", X.looked_up(F.lower(F.trim("edit_type")), names, F.lit("other")).alias("edit_type"))
 
 
-add("sca_37_infer", "rec", kind=(lambda: F.when(I.any_of(C("caption"), ["red", "amber", "coral"]), "color").when(I.any_of(C("caption"), ["doorway", "arch", "railing"]), "object").otherwise("global"), "case when contains(lower(coalesce(caption, '')), 'red') or contains(lower(coalesce(caption, '')), 'amber') or contains(lower(coalesce(caption, '')), 'coral') then 'color' when contains(lower(coalesce(caption, '')), 'doorway') or contains(lower(coalesce(caption, '')), 'arch') or contains(lower(coalesce(caption, '')), 'railing') then 'object' else 'global' end"))
 _FLAT = r"trim(regexp_replace(author, '[ \t\r\n]+', ' ', 'g'))"
 add("sca_38_clean", "rec", author=(lambda: I.clean(C("author"), 12), f"case when {_FLAT} <> '' and lower({_FLAT}) not in ({', '.join(repr(w) for w in I.NULL_WORDS)}) then substring({_FLAT}, 1, 12) end"))
 log_query("sca_39_article", f"regexp_replace(trim({_I}), '^(a|an|the)\\s+', '', 'i') as text, regexp_extract({_I}, '(next to|under|behind|in) the ([a-z ]+)', 2) as place", text=lambda: I.without_article(INS()), place=lambda: F.regexp_extract(INS(), "(next to|under|behind|in) the ([a-z ]+)", 2))
@@ -160,8 +157,6 @@ def fenced(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("raw_id", F.try_variant_get("v", "$.status", "string").alias("status")).distinct()
 
 
-_L = ("accepted", "rejected", "candidate")
-add("sca_46_choice", "documents", label=(lambda: I.only_label(C("text"), _L), "case when " + " + ".join(rf"coalesce(regexp_matches(lower(text), '\b{w}\b'), false)::int" for w in _L) + " = 1 then " + "coalesce(" + ", ".join(rf"case when regexp_matches(lower(text), '\b{w}\b') then '{w}' end" for w in _L) + ") end"))
 
 
 @R.query("sca_47_judge_list", "with v as (select raw_id, try_cast(payload as json) as j from raw_lines where json_type(try_cast(payload as json)) = 'OBJECT'), d as (select raw_id, unnest(case json_type(json_extract(j, '$.distractors')) when 'ARRAY' then json_extract(j, '$.distractors[*]') when 'OBJECT' then [json_extract(j, '$.distractors')] else [] end) as e from v) select distinct raw_id, json_extract_string(e, '$.operation_id') as operation_id from d where json_type(e) = 'OBJECT'")
@@ -173,7 +168,6 @@ def judge_list(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("raw_id", F.explode(listed).alias("e")).where(F.schema_of_variant("e").startswith("OBJECT")).select("raw_id", F.try_variant_get("e", "$.operation_id", "string").alias("operation_id")).distinct()
 
 
-add("sca_48_failure_phrases", "documents", no_change=(lambda: F.coalesce(C("text").rlike(r"(?i)no visible change|still (be )?seen|wrong target"), F.lit(False)), "coalesce(regexp_matches(text, 'no visible change|still (be )?seen|wrong target', 'i'), false)"))
 
 
 @R.query("sca_49_score_aliases", "select pool_id, scored_at, e.key as name, round(least(greatest(1 + 4 * e.value, 1.0), 5.0), 6) as score from (select pool_id, scored_at, unnest(map_entries(opportunities)) as e from pool_candidates) where isfinite(e.value)")
@@ -184,9 +178,7 @@ def score_aliases(spark: SparkSession, sf: str) -> DataFrame:
 _WC = [("edit", 0.4), ("preservation", 0.3), ("validity", 0.3)]
 add("sca_50_weighted", "cand", x=(lambda: r6(X.weighted_mean([(C(n), w) for n, w in _WC])), _r(_wsum(_WC, ""))))
 add("sca_51_decision_id", "pool", id=(lambda: F.sha1(F.concat_ws("\n", F.coalesce("source_key", F.lit("")), F.coalesce("known_type", F.lit("")), C("pool_id").cast("string"))), "sha1(coalesce(source_key, '') || chr(10) || coalesce(known_type, '') || chr(10) || pool_id)"))
-add("sca_52_canonical", "pool", id=(lambda: F.sha1(F.array_join(F.transform(F.array_sort(F.map_keys("opportunities")), lambda k: k), ",")), "sha1(array_to_string(list_sort(map_keys(opportunities)), ','))"))
 add("sca_53_short_id", "rec", id=(lambda: F.substring(F.sha2("key", 256), 1, 16), "substring(sha256(key), 1, 16)"))
-add("sca_54_safe_key", "rec", safe=(lambda: I.safe_key(F.coalesce("page", F.lit("")), 40), "substring(regexp_replace(regexp_replace(coalesce(page, ''), '[^A-Za-z0-9_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), 1, 40)"))
 _BITS = "array_to_string(list_transform(embedding[{}:{}], lambda x: case when x > 0 then '1' else '0' end), '')"
 _bits = lambda a, n: F.array_join(F.transform(F.slice("embedding", a, n), lambda x: F.when(x > 0, "1").otherwise("0")), "")
 add("sca_55_hamming", "embeddings", bits=(lambda: X.bits_differing(_bits(1, 32), _bits(33, 32)), f"hamming({_BITS.format(1, 32)}, {_BITS.format(33, 64)})::int"))
@@ -200,8 +192,6 @@ def _entropy(values):
     return F.abs(F.aggregate(F.transform(p, lambda q: F.when(q > 0, q * F.log2(q)).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x))
 
 
-add("sca_59_ranges", "documents", days=(lambda: F.array_join(F.flatten(F.transform(F.split(F.lit("1-3,7"), ","), lambda r: F.sequence(F.split(r, "-")[0].cast("int"), F.element_at(F.split(r, "-"), -1).cast("int")))), "|"), "'1|2|3|7'"))
-add("sca_60_fractions", "documents", x=(lambda: X.number_map(F.concat(F.lit("a=0.5, b=x, c=-1, d="), C("n_chars").cast("string")), ",", "=")["d"], "case when n_chars > 0 then n_chars::double end"))
 log_query("sca_61_round", "coalesce(try_cast(regexp_extract(edited_image_path, 'r(\\d+)/', 1) as int), 0) as round", round=lambda: F.coalesce(F.regexp_extract("edited_image_path", r"r(\d+)/", 1).try_cast("int"), F.lit(0)))
 add("sca_62_cell", "rec", cell=(lambda: F.when(F.lower(F.trim("author")).isin("", "nan"), None).otherwise(C("author")), "case when lower(trim(author)) not in ('', 'nan') then author end"))
 add("sca_63_stamp", "events", stamp=(lambda: F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'"), "strftime(ts, '%Y%m%dT%H%M%SZ')"))
@@ -215,13 +205,11 @@ log_query("sca_68_indefinite", "case when proposal.structured_edit.target is nul
 log_query("sca_69_template", f"list_filter(['next to the doorway', 'under the arch', 'behind the railing'], lambda t: not contains(lower(coalesce({_I}, '')), t))[1] as template", template=lambda: F.get(F.filter(F.array(*[F.lit(t) for t in ("next to the doorway", "under the arch", "behind the railing")]), lambda t: ~F.contains(F.lower(F.coalesce(INS(), F.lit(""))), t)), F.lit(0)))
 add("sca_70_proposal", "pool", text=(lambda: F.when(C("known_type") == "object_removal", F.concat(F.lit("Remove the object in "), "source_key")).when(C("known_type") == "color_change", F.concat(F.lit("Recolour "), "source_key")).otherwise(F.concat(F.lit("Adjust "), "source_key")), "case when known_type = 'object_removal' then 'Remove the object in ' || source_key when known_type = 'color_change' then 'Recolour ' || source_key else 'Adjust ' || source_key end"))
 add("sca_71_terms", "rec", terms=(lambda: F.array_join(I.content_terms(C("caption")), " "), f"array_to_string({_T.format(w=_W.format('caption'))}, ' ')"))
-log_query("sca_72_contradiction", f"coalesce(contains(lower({_I}), 'remove'), false) and coalesce(contains(lower({_I}), 'add'), false) as contradicts", contradicts=lambda: F.coalesce(F.lower(INS()).contains("remove"), F.lit(False)) & F.coalesce(F.lower(INS()).contains("add"), F.lit(False)))
-log_query("sca_73_generic", f"contains(lower(coalesce({_I}, '')), 'the scene') or contains(lower(coalesce({_I}, '')), 'the background') as generic", generic=lambda: I.any_of(INS(), ["the scene", "the background"]))
 
 
 @R.query("sca_74_placeholder", "select key, ingested_at, lower(trim(author)) in (select filler from placeholder_values) as placeholder from source_records where author is not null group by all")
 def placeholder(spark: SparkSession, sf: str) -> DataFrame:
-    words = [r.filler for r in read(spark, sf, "placeholder_values").limit(1000).collect()]
+    words = [r.filler for r in whole_list(read(spark, sf, "placeholder_values"), "fillers")]
     return read(spark, sf, "source_records").where("author is not null").select("key", "ingested_at", F.lower(F.trim("author")).isin(words).alias("placeholder")).distinct()
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import glob
 import re
 from collections.abc import Sequence
 
@@ -76,9 +75,45 @@ def read_images(spark: SparkSession, path: str, limit: int | None = None) -> Dat
     return rows.orderBy("path").limit(limit) if limit else rows
 
 
-def expand_paths(patterns: Sequence[str]) -> list[str]:
+def matching_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that a pattern matches in whatever store it names, sorted."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)
+    names = sorted(str(f.getPath().toString()) for f in found) if found is not None else []
+    return names if ":" in pattern.split("/")[0] else [re.sub(r"^file:(//)?", "", n) for n in names]
+
+
+def expand_paths(spark: SparkSession, patterns: Sequence[str]) -> list[str]:
     """Matches of each pattern, or the pattern itself; distinct and sorted, so that no file is read twice."""
-    return sorted({m for p in patterns for m in (glob.glob(p) or [p])})
+    return sorted({m for p in patterns for m in (matching_paths(spark, p) or [p])})
+
+
+def read_source(spark: SparkSession, source: str, path: str, schema: str, limit: int | None = None) -> DataFrame:
+    """Records of a ``directory`` of pictures or of a ``jsonl`` file, at most ``limit``; any other source raises."""
+    if source == "directory":
+        return read_images(spark, path, limit).select("key", "path")
+    if source != "jsonl":
+        raise ValueError(f"unknown source: {source}")
+    rows = read_records(spark, path, schema)
+    return rows.limit(limit) if limit else rows
+
+
+def read_listed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A manifest that must be a JSON list."""
+    kinds = spark.read.text(path, wholetext=True).select(F.schema_of_variant(F.try_parse_json("value")).alias("kind")).limit(1).collect()
+    if not kinds or not (kinds[0].kind or "").startswith("ARRAY"):
+        raise ValueError(f"{path} isn't a list")
+    return read_records(spark, path, schema)
+
+
+def resumed(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """What is still to be fetched: rows whose key isn't among those done."""
+    return wanted.join(done.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
+
+
+def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """All rows in a seeded random order that doesn't depend on the partitioning."""
+    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key))
 
 
 def round_of(path: Column) -> Column:
@@ -88,7 +123,7 @@ def round_of(path: Column) -> Column:
 
 def read_rounds(spark: SparkSession, run: str, schema: str, rounds: Sequence[int] | None = None) -> DataFrame:
     """The logs of a run's round folders with ``_round``; only the listed rounds are opened."""
-    paths = [p for p in sorted(glob.glob(f"{run}/round_*")) if rounds is None or int(re.search(r"round_(\d+)", p).group(1)) in rounds]
+    paths = [p for p in matching_paths(spark, f"{run}/round_*") if rounds is None or int(re.search(r"round_(\d+)", p).group(1)) in rounds]
     if not paths:
         return spark.createDataFrame([], T.StructType.fromDDL(schema).add("_round", T.IntegerType()))
     rows = spark.read.schema(schema).option("pathGlobFilter", "*.json*").json(paths)
@@ -150,17 +185,22 @@ def require_rows(rows: DataFrame, what: str) -> DataFrame:
     return rows
 
 
-def load_yaml(path: str) -> dict:
-    """A configuration file; it must be a mapping."""
+def parse_yaml(text: str, path: str) -> dict:
+    """Settings from text; they must be a mapping, and remember their path."""
     import yaml
 
-    with open(path) as f:
-        value = yaml.safe_load(f)
+    value = yaml.safe_load(text)
     if not isinstance(value, dict):
         raise ValueError(f"{path} isn't a mapping")
     return value | {"_path": path}
 
 
+def load_yaml(path: str) -> dict:
+    """A configuration file; it must be a mapping."""
+    with open(path) as f:
+        return parse_yaml(f.read(), path)
+
+
 def read_score_table(spark: SparkSession, path: str, first: str, second: str) -> DataFrame:
     """A CSV of scores: rows with both numbers, and ``overall``, their geometric mean."""
     raw = spark.read.option("header", True).csv(path)
@@ -200,6 +240,6 @@ def model_row(table: DataFrame, column: str, name: str) -> DataFrame:
     raise ValueError(f"no row for {name}")
 
 
-def new_files(before: set[str], pattern: str) -> list[str]:
+def new_files(spark: SparkSession, before: set[str], pattern: str) -> list[str]:
     """Files that weren't there in an earlier listing."""
-    return sorted(set(glob.glob(pattern)) - before)
+    return sorted(set(matching_paths(spark, pattern)) - before)

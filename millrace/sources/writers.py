@@ -4,18 +4,40 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A report is a small table; more rows than this is an error.
 REPORT_ROWS = 10_000
 
+#: Timestamps without zone keep their microseconds.
+MICROSECONDS = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
+
 
 def write_log(rows: DataFrame, path: str, append: bool = False) -> None:
     """JSON lines; the commit protocol makes the write whole or not at all."""
-    rows.write.mode("append" if append else "overwrite").json(path)
+    rows.write.mode("append" if append else "overwrite").option("timestampNTZFormat", MICROSECONDS).json(path)
+
+
+def write_ascii_log(rows: DataFrame, path: str) -> None:
+    """JSON lines in which every character beyond ASCII is escaped."""
+
+    def escaped(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            plain = [json.dumps(json.loads(line), ensure_ascii=True) for line in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(plain, pa.string())], names=["value"])
+
+    rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).mapInArrow(escaped, "value string").write.mode("overwrite").text(path)
+
+
+def write_with_anchors(rows: DataFrame, anchors: DataFrame, path: str, anchor_weight: float) -> None:
+    """Preference rows at weight 1 and replayed anchors at a lower one, in one manifest."""
+    tagged = rows.select(F.lit("preference").alias("kind"), "*", F.lit(1.0).alias("weight"))
+    again = anchors.select(F.lit("anchor").alias("kind"), "*", F.lit(anchor_weight).alias("weight"))
+    write_log(tagged.unionByName(again, allowMissingColumns=True), path)
 
 
 def write_table(rows: DataFrame, path: str, columns: Sequence[str] | None = None) -> None:

@@ -61,9 +61,9 @@ def test_images_and_paths(spark, tmp_path):
         put(tmp_path / name, "x")
     assert [r.key for r in readers.read_images(spark, str(tmp_path)).collect()] == ["b.png", "d__a.jpg"]
     one = str(tmp_path / "b.png")
-    assert readers.expand_paths([one, str(tmp_path / "*.png"), "missing"]) == [one, "missing"]
+    assert readers.expand_paths(spark, [one, str(tmp_path / "*.png"), "missing"]) == [one, "missing"]
     before = {one}
-    assert readers.new_files(before, str(tmp_path / "*")) == sorted([str(tmp_path / "c.txt"), str(tmp_path / "d")])
+    assert readers.new_files(spark, before, str(tmp_path / "*")) == sorted([str(tmp_path / "c.txt"), str(tmp_path / "d")])
 
 
 def test_specs_overrides_and_yaml(tmp_path):
