@@ -147,7 +147,7 @@ def chosen_label(text: Column, labels: Sequence[str]) -> Column:
 
 def listed_rounds(text: Column) -> Column:
     """``1-3, 7`` as sorted distinct numbers."""
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
     ends = lambda x: (F.split_part(x, F.lit("-"), F.lit(1)).cast("int"), F.split_part(x, F.lit("-"), F.lit(2)).try_cast("int"))
 
     def numbers(x: Column) -> Column:
