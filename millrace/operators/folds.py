@@ -37,7 +37,10 @@ def cycled(cycle: Sequence[str], place: Column) -> Column:
 
 
 def relative_scores(rows: DataFrame, group: str, score: str) -> DataFrame:
-    """``relative``: the score's place between the group's lowest and highest; 0.5 where they are equal."""
-    w = Window.partitionBy(group)
-    low, high = F.min(score).over(w), F.max(score).over(w)
-    return rows.withColumn("relative", F.when(high == low, F.lit(0.5)).otherwise(F.try_divide(F.col(score) - low, high - low)))
+    """``relative``: the score's place between the group's lowest and highest; 0.5 where they are equal.
+
+    The ranges are an aggregation joined back, so that a hot group isn't gathered for a window.  Groups must not be null.
+    """
+    low, high = F.col("__low"), F.col("__high")
+    ranges = rows.groupBy(group).agg(F.min(score).alias("__low"), F.max(score).alias("__high"))
+    return rows.join(ranges, group).withColumn("relative", F.when(high == low, F.lit(0.5)).otherwise(F.try_divide(F.col(score) - low, high - low))).drop("__low", "__high")

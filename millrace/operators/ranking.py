@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.scratch import keep
+
 BINS = 1024
 
 
@@ -51,3 +53,19 @@ def binned_running_sum(rows: DataFrame, offsets: DataFrame, groups: Sequence[str
     before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     joined = rows.join(offsets.drop("bin_size").hint("merge"), keys)  # the window needs the same shuffle and sort
     return joined.withColumn(out, F.col("offset") + F.coalesce(F.sum(value).over(before), F.lit(0)).cast("bigint")).drop("offset")
+
+
+def ranked_by_value(rows: DataFrame, groups: Sequence[str], value: str, ties: Sequence[Column], out: str = "rank", bins: int = BINS) -> DataFrame:
+    """``rows`` with their 1-based rank in the group by a finite ``value``, highest first, nulls last.
+
+    Bins cut each group's range of values into equal parts and so descend with
+    the value; the rows of a group of any size spread over them, unless one
+    value holds most rows.  Groups must not be null.  ``rows`` is written once,
+    as it is read for the ranges, the counts and the ranks.
+    """
+    kept = keep(rows, "rank-rows").df
+    ranges = kept.groupBy(*groups).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
+    part = F.floor(F.try_divide(F.col("__high") - F.col(value), F.col("__high") - F.col("__low")) * (bins - 1)).cast("int")
+    binned = kept.join(ranges, list(groups)).withColumn("__bin", F.when(F.col(value).isNull(), F.lit(bins)).otherwise(F.coalesce(part, F.lit(0)))).drop("__low", "__high")
+    order = [F.col(value).desc_nulls_last(), *ties]
+    return binned_rank(binned, bin_offsets(binned, groups, "__bin"), groups, "__bin", order, out).drop("__bin")

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from millrace.functions.exprs import finite, finite_or, reasons
 from millrace.operators.folds import cycled, ordered_values, relative_scores, smoothed, stepped_level
+from millrace.operators.ranking import ranked_by_value
 from millrace.operators.selection import capped
 from millrace.plans.aggregates import GATES, SQL_GATES, gates
 from millrace.plans.base import CAND, POOL, Registry, candidates, pool, r6, read
+from millrace.scratch import keep
 
 R = Registry()
 QUERIES, SQL = R.QUERIES, R.SQL
@@ -25,10 +27,10 @@ GROUPED = "trim(group_id) != ''"
 )
 def relative_rank(spark: SparkSession, sf: str) -> DataFrame:
     """The cut at the top comes first, the threshold after it."""
-    rows = relative_scores(candidates(spark, sf).where(GROUPED).where("score is not null"), "group_id", "score")
+    rows = relative_scores(keep(candidates(spark, sf).where(GROUPED).where("score is not null").select("group_id", "candidate_index", "score", "preservation"), "group-scores").df, "group_id", "score")
     rows = rows.withColumn("quality", r6(0.7 * F.col("relative") + 0.3 * F.coalesce("preservation", F.lit(0.0))))
-    place = F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("quality"), "candidate_index"))
-    return rows.withColumn("place", place).select("group_id", "candidate_index", r6(F.col("relative")).alias("relative"), "quality", "place", ((F.col("place") <= 2) & (F.col("quality") >= 0.5)).alias("taken"))
+    rows = ranked_by_value(rows, ["group_id"], "quality", [F.col("candidate_index")], "place")
+    return rows.select("group_id", "candidate_index", r6(F.col("relative")).alias("relative"), "quality", F.col("place").cast("int").alias("place"), ((F.col("place") <= 2) & (F.col("quality") >= 0.5)).alias("taken"))
 
 
 @R.query(
@@ -40,9 +42,10 @@ def relative_rank(spark: SparkSession, sf: str) -> DataFrame:
 def gated_rank(spark: SparkSession, sf: str) -> DataFrame:
     """Ranked among the feasible only; a top row that fails the agreement test is not replaced."""
     rows = candidates(spark, sf).where(GROUPED).withColumn("ok", F.size(reasons(gates(GATES))) == 0)
-    place = F.when(F.col("ok"), F.row_number().over(Window.partitionBy("group_id", "ok").orderBy(F.desc_nulls_last("raw"), "candidate_index"))).otherwise(0)
     apart = F.abs(finite_or(F.col("global_score"), 0.0) - finite_or(F.col("local_score"), 0.0))
-    return rows.withColumn("place", place).select("group_id", "candidate_index", "place", (F.col("ok") & (F.col("place") <= 2) & (apart <= 0.3)).alias("taken"))
+    rows = keep(rows.select("group_id", "candidate_index", "ok", "raw", "global_score", "local_score"), "gated-rows").df
+    placed = ranked_by_value(rows.where("ok"), ["group_id"], "raw", [F.col("candidate_index")], "place")
+    return placed.unionByName(rows.where("not ok").withColumn("place", F.lit(0).cast("bigint"))).select("group_id", "candidate_index", F.col("place").cast("int").alias("place"), (F.col("ok") & (F.col("place") <= 2) & (apart <= 0.3)).alias("taken"))
 
 
 @R.query("win_3_top_feasible", f"with {CAND}, f as (select * from cand where trim(group_id) <> '' and {SQL_GATES}) select group_id, candidate_index from (select *, row_number() over (partition by group_id order by raw desc nulls last, candidate_index) as r from f) where r <= 2")
@@ -92,7 +95,8 @@ def hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
     """The best of every tag first, then the rest."""
     tag = F.when(F.col("changed") < 0.1, "no_op").when(F.col("drift") > 0.6, "drift").when(F.col("judge") < 0.5, "judge").otherwise("near_miss")
     rows = candidates(spark, sf).where(GROUPED).where("not accepted").withColumn("tag", tag)
-    rows = rows.withColumn("in_tag", F.row_number().over(Window.partitionBy("group_id", "tag").orderBy(F.desc_nulls_last("raw"), "candidate_index")))
+    # behind four better rows of its tag that aren't its best, a row can't be among the first four: cut before the shuffle
+    rows = capped(rows, ["group_id", "tag"], [F.desc_nulls_last("raw"), F.col("candidate_index")], 5, "in_tag")
     return capped(rows, ["group_id"], [F.col("in_tag") > 1, F.desc_nulls_last("raw"), F.col("candidate_index")], 4).select("group_id", "candidate_index", "tag", "place")
 
 

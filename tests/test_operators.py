@@ -166,3 +166,19 @@ def test_hot_join_keeps_every_row(spark):
         for broadcast_rows, hot_rows in ((10, 10), (0, 100), (0, 10_000)):
             got = hot_join(big, small, "k", 500, 3, how, broadcast_rows, hot_rows)
             assert sorted(map(tuple, got.collect()), key=repr) == want
+
+
+def test_ranks_by_value_in_a_hot_group(spark):
+    import random
+
+    from millrace.operators.ranking import ranked_by_value
+
+    rng = random.Random(3)
+    rows = [("hot" if i % 3 else f"g{i % 5}", i, rng.choice([None, 0.0, 0.5, -1e300, 1e300, rng.random(), rng.random()])) for i in range(2000)] + [("one", 5000, 1.0), ("none", 5001, None)]
+    df = spark.createDataFrame(rows, "g string, i int, v double")
+    got = {r.i: r.rank for r in ranked_by_value(df, ["g"], "v", [F.col("i")]).collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[2] is None, -(r[2] or 0.0), r[1]))
+        want |= {r[1]: n + 1 for n, r in enumerate(own)}
+    assert got == want
