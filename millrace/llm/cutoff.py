@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.ordered import is_finite, ordered_bits
-from millrace.operators.lookup import lookup_join
+from millrace.operators.lookup import counted, lookup_join
 from millrace.scratch import Kept, keep
 
 #: A round tells 2 ** DIGITS bins apart in a group, and twice that where scores of both signs are left.
@@ -75,7 +75,7 @@ def share_cutoffs(rows: DataFrame, groups: Sequence[str], score: str, keep_pct:
         )
         above = Window.partitionBy(*on).orderBy(F.col("digit").desc()).rowsBetween(Window.unboundedPreceding, -1)
         ranked = bins.withColumn("above", F.coalesce(F.sum("live").over(above), F.lit(0)))
-        zoomed = ranked.join(narrow.select(*on, "n", "k", "left"), on).where("left > above and left <= above + live")
+        zoomed = ranked.join(counted(narrow.select(*on, "n", "k", "left"), open_groups), on).where("left > above and left <= above + live")
         zoomed = zoomed.withColumn("left", F.col("left") - F.col("above")).drop("digit", "above")
         state = keep(_settle(zoomed), "cutoff-state")
         settled.append(state.df.where("done"))
@@ -115,4 +115,4 @@ def cutoff_report(found: Cutoffs, groups: Sequence[str], spread_by: str) -> Data
     kept = kept_rows(found, groups, spread_by)
     kept = kept.select(F.xxhash64(*groups, *[F.col(k).isNull() for k in groups]).alias("__g"), *[F.coalesce(F.col(k).cast("string"), F.lit("\u0000null")).alias(f"__k{i}") for i, k in enumerate(groups)])
     sizes = kept.groupBy(*on).agg(F.count("*").alias("kept"))
-    return found.cutoffs.join(sizes, on, "left").select(*groups, "n", "target_kept", "cutoff", F.coalesce("kept", F.lit(0)).alias("kept"))
+    return found.cutoffs.join(counted(sizes, found.count), on, "left").select(*groups, "n", "target_kept", "cutoff", F.coalesce("kept", F.lit(0)).alias("kept"))

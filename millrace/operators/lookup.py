@@ -18,13 +18,20 @@ def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], small_rows:
     ``small_rows`` is the counted size of ``small``.  Up to ``broadcast_rows``
     it is broadcast.  Beyond that both sides are shuffled, each row of ``small``
     repeated once per salt and ``big`` spread over the salts, so no key of
-    ``big`` gathers in one task.  ``how``: inner or left.
+    ``big`` gathers in one task.  The hint is needed: Spark's estimate is that of
+    ``small``'s files, before the salts, and a broadcast is built on the driver.
+    ``how``: inner or left.
     """
     if small_rows <= broadcast_rows:
         return big.join(F.broadcast(small), list(on), how)
     spread = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = big.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
-    return salted.join(spread, [*on, "__salt"], how).drop("__salt")
+    return salted.join(spread.hint("merge"), [*on, "__salt"], how).drop("__salt")
+
+
+def counted(small: DataFrame, small_rows: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``small`` as a side of a join: broadcast if its counted size allows it, never by Spark's estimate."""
+    return F.broadcast(small) if small_rows <= broadcast_rows else small.hint("merge")
 
 
 #: Keys of a join with more rows than both of these are hot: a number, and a share of all rows.
