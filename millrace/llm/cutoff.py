@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.ordered import is_finite, ordered_bits
-from millrace.operators.lookup import counted, lookup_join
+from millrace.operators.lookup import counted, sized_join
 from millrace.scratch import Kept, keep
 
 #: A round tells 2 ** DIGITS bins apart in a group, and twice that where scores of both signs are left.
@@ -18,11 +18,13 @@ DIGITS = 11
 
 @dataclass
 class Cutoffs:
-    """``cutoffs``: groups, n, target_kept, cutoff.  ``scored``: the finite rows with their ``score_bits``."""
+    """``cutoffs``: groups, n, target_kept, cutoff.  ``scored``: the finite rows with their ``score_bits``.  ``count``, ``largest``, ``rows``: of the groups, of the largest one, of all."""
 
     cutoffs: DataFrame
     scored: DataFrame
     count: int
+    largest: int
+    rows: int
 
 
 def _digit(bits: str):
@@ -65,28 +67,36 @@ def share_cutoffs(rows: DataFrame, groups: Sequence[str], score: str, keep_pct:
     state = state.withColumn("left", F.col("k")).withColumn("live", F.col("n"))
     state = keep(_settle(state), "cutoff-state")
     live, settled, spent = slim, [state.df.where("done")], []
-    groups_all = state.count()
-    while open_groups := state.df.where("not done").count():
+    groups_all = _sizes(state.df)
+    while (sizes := _sizes(state.df.where("not done")))[0]:
         narrow = state.df.where("not done").select(*on, "lo", "hi", "n", "k", "left")
-        joined = lookup_join(live.select(*on, "score_bits", "__score"), narrow.select(*on, "lo", "hi"), on, open_groups, F.col("score_bits"))
+        joined = sized_join(live.select(*on, "score_bits", "__score"), narrow.select(*on, "lo", "hi", "n"), on, sizes[0], F.col("score_bits"), "n", *sizes[1:]).drop("n")
         live_rows = keep(joined.where("score_bits between lo and hi"), "cutoff-live")
         bins = live_rows.df.groupBy(*on, _digit("score_bits")).agg(
             F.count("*").alias("live"), F.min("score_bits").alias("lo"), F.max("score_bits").alias("hi"), F.min("__score").alias("lo_score"), F.max("__score").alias("hi_score")
         )
         above = Window.partitionBy(*on).orderBy(F.col("digit").desc()).rowsBetween(Window.unboundedPreceding, -1)
         ranked = bins.withColumn("above", F.coalesce(F.sum("live").over(above), F.lit(0)))
-        zoomed = ranked.join(counted(narrow.select(*on, "n", "k", "left"), open_groups), on).where("left > above and left <= above + live")
+        zoomed = ranked.join(counted(narrow.select(*on, "n", "k", "left"), sizes[0]), on).where("left > above and left <= above + live")
         zoomed = zoomed.withColumn("left", F.col("left") - F.col("above")).drop("digit", "above")
         state = keep(_settle(zoomed), "cutoff-state")
         settled.append(state.df.where("done"))
         for old in spent:
             old.drop()
         spent, live = [live_rows], live_rows.df
+    for old in spent:
+        old.drop()
     result = settled[0]
     for part in settled[1:]:
         result = result.unionByName(part)
     named = result.select(*[F.when(F.col(f"__k{i}") != "\u0000null", F.col(f"__k{i}")).cast(scored.df.schema[k].dataType).alias(k) for i, k in enumerate(keys)], *on, "n", F.col("k").alias("target_kept"), "cutoff", "cut_bits")
-    return Cutoffs(named, scored.df, groups_all)
+    return Cutoffs(named, scored.df, *groups_all)
+
+
+def _sizes(state: DataFrame) -> tuple[int, int, int]:
+    """The number of groups, the rows of the largest and of all."""
+    found = state.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return found[0], found[1], found[2]
 
 
 def _settle(state: DataFrame) -> DataFrame:
@@ -105,7 +115,7 @@ def kept_rows(found: Cutoffs, groups: Sequence[str], spread_by: str) -> DataFram
     on = ["__g", *[f"__k{i}" for i in range(len(keys))]]
     rows = found.scored.select("*", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0000null")).alias(f"__k{i}") for i, k in enumerate(keys)])
     cuts = found.cutoffs.select(*on, "n", "target_kept", "cutoff", "cut_bits")
-    joined = lookup_join(rows, cuts, on, found.count, F.col(spread_by))
+    joined = sized_join(rows, cuts, on, found.count, F.col(spread_by), "n", found.largest, found.rows)
     return joined.where("score_bits >= cut_bits").drop(*on, "score_bits", "cut_bits")
 
 

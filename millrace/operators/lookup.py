@@ -58,3 +58,24 @@ def hot_join(big: DataFrame, small: DataFrame, on: str, big_rows: int, small_row
         return big.join(small, on, how)
     is_hot = F.coalesce(F.col(on).isin(hot), F.lit(False))
     return big.where(is_hot).join(F.broadcast(small.where(is_hot)), on, how).unionByName(big.where(~is_hot).join(small.where(~is_hot), on, how))
+
+
+def sized_join(big: DataFrame, small: DataFrame, on: Sequence[str], small_rows: int, salt: Column, size: str, largest: int, big_rows: int, broadcast_rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner ``lookup_join`` where ``small`` has in ``size`` how many rows of ``big`` each key has at most.
+
+    ``largest`` is the greatest ``size`` and ``big_rows`` their sum.  Only hot
+    keys are repeated and spread over the salts, so a million small groups cost
+    one row each in the shuffle; the hot ones (fewer than 1 / HOT_SHARE by
+    their definition) are made known to ``big`` by a broadcast.
+    """
+    if small_rows <= broadcast_rows:
+        return big.join(F.broadcast(small), list(on))
+    least = max(hot_rows, int(big_rows * HOT_SHARE))
+    if largest <= least:
+        return big.join(small.hint("merge"), list(on))
+    is_hot = F.col(size) > least
+    hot = small.where(is_hot).select(*on, F.lit(True).alias("__hot"))
+    spread = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(is_hot, SALTS - 1).otherwise(0))))
+    own = F.when(F.col("__hot"), F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).otherwise(0)
+    salted = big.join(F.broadcast(hot), list(on), "left").withColumn("__salt", own).drop("__hot")
+    return salted.join(spread.hint("merge"), [*on, "__salt"]).drop("__salt")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.folds import cycled, ordered_values, relative_scores, smoothed, stepped_level
 from millrace.operators.joins import best_against_rest, fallback_join, hardest_pairs, sign_neighbours
-from millrace.operators.lookup import lookup_join
+from millrace.operators.lookup import lookup_join, sized_join
 from millrace.operators.selection import greedy_selection, quota_then_backfill, ranked_whole, seeded_sample
 from millrace.operators.sets import ordered_distinct, overlay, replay
 from millrace.operators.stats import auc, describe, first_mode
@@ -25,6 +25,17 @@ def test_lookup_join_both_ways(spark):
         assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
 
 
+def test_sized_join_repeats_only_hot_keys(spark):
+    big = spark.range(300).selectExpr("id", "if(id < 200, 0, id % 11) as k", "'own' as size")
+    small = spark.range(12).selectExpr("id as k", "id * 10 as v").join(big.groupBy("k").agg(F.count("*").alias("size")), "k")
+    expected = [(i, k, k * 10) for i in range(300) for k in [0 if i < 200 else i % 11]]
+    for broadcast_rows, hot_rows, repeats in ((50, 1000, False), (0, 1000, False), (0, 99, True), (0, 5, True)):
+        got = sized_join(big, small, ["k"], 11, F.col("id"), "size", 209, 300, broadcast_rows, hot_rows)
+        assert got.columns == ["k", "id", "size", "v", "size"]
+        assert sorted(map(tuple, got.select("id", "k", "v").collect())) == expected
+        assert ("Generate" in got._jdf.queryExecution().executedPlan().toString()) == repeats
+
+
 def test_fallback_join_keeps_rows(spark):
     left = spark.createDataFrame([("a", "x"), ("b", "y"), (None, "x"), ("c", None)], "k string, p string")
     right = spark.createDataFrame([("a", "q", 1), ("a", "q", 2), (None, "x", 3), ("z", "y", 4)], "rk string, rp string, v int")
